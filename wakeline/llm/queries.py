@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules
+from . import bpe, line_dedup, mixing, quality_rules
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
@@ -26,7 +30,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op9_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op9_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
