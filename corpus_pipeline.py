@@ -4,15 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import quality_rules
+from wakeline.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
 from wakeline.llm.common import materialise, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
     return quality_rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut; documents of which nothing is left go."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.where("n_removed = 0 or text <> ''").select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document may appear twice."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to, a row for each row of the mix."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digest_documents(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mixing", mix), ("byte_bpe", encode)]
 
 #: Learned rules and whole-corpus similarity have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
