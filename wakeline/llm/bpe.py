@@ -22,29 +22,36 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
-SLICE = 3_000_000
+CACHE = 500_000
+SLICE = 4_000_000
 
 CONTRACT = """
-with recursive state(round, piece, place, id, rank) as (
-  select 0, piece, place, id, token from start left join merges on pair = id::bigint * 4294967296 + follows
+with recursive state(round, piece, place, id, after, follows, rank) as (
+  select 0, piece, place, id, after, follows, token from start left join merges on pair = id::bigint * 4294967296 + follows
   union all
-  select round, piece, place, id, token from (
-    select round, piece, place, id, lead(id) over (partition by piece order by place) as follows from (
-      select s.round + 1 as round, s.piece, s.place,
-             case when s.place = best % 4294967296 then (best // 4294967296)::int else s.id end as id,
-             lag(s.place) over (partition by s.piece order by s.place) as before, best % 4294967296 as merged
+  select round, piece, place, id, after, follows, case when touched is null then rank else token end from (
+    select round, piece, place, id, after, follows, rank, case when changed then id::bigint * 4294967296 + follows end as touched from (
+      select s.round + 1 as round, s.piece, s.place, s.rank,
+             case when s.place = b.place then b.token else s.id end as id,
+             case when s.place = b.place then b.after else s.after end as after,
+             case when s.place = b.place then b.follows when s.after = b.place then b.token else s.follows end as follows,
+             s.place = b.place or s.after = b.place as changed
       from state s join (
-        select piece, min(rank::bigint * 4294967296 + place) as best from state where rank is not null group by piece
-      ) b using (piece))
-    where before is null or before <> merged
-  ) left join merges on pair = id::bigint * 4294967296 + follows
+        select best.piece, best.token, best.place, next.place as gone, next.after, next.follows from (
+          select piece, (least // 4294967296)::int as token, least % 4294967296 as place, second from (
+            select piece, min(rank::bigint * 4294967296 + place) as least, arg_min(after, rank::bigint * 4294967296 + place) as second
+            from state where rank is not null group by piece)
+        ) best join state next on next.piece = best.piece and next.place = best.second
+      ) b on s.piece = b.piece where s.place <> b.gone)
+  ) left join merges on pair = touched
 ), final as (
   select s.piece, s.place, s.id from state s join (select piece, max(round) as round from state group by piece) using (piece, round)
 )
@@ -65,6 +72,7 @@ class Codec:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs, tokens = [], []
@@ -86,28 +94,32 @@ class Codec:
         """Encodes the pieces that are not known yet."""
         if len(self.known) > CACHE:
             self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        new = [p for p in set(pieces) if p not in self.known]
         for k in range(0, len(new), 50_000):
             self._contract(new[k : k + 50_000])
 
     def _contract(self, new: list[str]) -> None:
-        piece, at, ids, follows = [], [], [], []
-        for i, p in enumerate(new):
-            raw = p.encode()
-            whole = self.ranks.get(raw)
-            tokens = [whole] if whole is not None else [self.ranks[raw[j : j + 1]] for j in range(len(raw))]
-            piece += [i] * len(tokens)
-            at += range(len(tokens))
-            ids += tokens
-            follows += tokens[1:]
-            follows.append(-1)
-        self.db.register("start", pa.table({"piece": pa.array(piece, pa.int32()), "place": pa.array(at, pa.int64()), "id": pa.array(ids, pa.int32()), "follows": pa.array(follows, pa.int32())}))
-        for batch in self.db.execute(CONTRACT).to_arrow_reader(50_000):
-            lists = batch.column(1)
-            raw, cuts = lists.flatten().to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
-            cuts = cuts - cuts[0]
-            for i, a, b, text in zip(batch.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-                self.known[new[i]] = (raw[a:b], bytes.fromhex(text))
+        raws = [p.encode() for p in new]
+        whole = np.array([self.ranks.get(r, -1) for r in raws], np.int32)
+        sizes = np.array([len(r) for r in raws])
+        starts = np.cumsum(sizes) - sizes
+        ids = self.single[np.frombuffer(b"".join(raws), np.uint8)]
+        ids[starts[whole >= 0]] = whole[whole >= 0]
+        sizes_kept = np.where(whole >= 0, 1, sizes)
+        piece = np.repeat(np.arange(len(new), dtype=np.int32), sizes_kept)
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(sizes_kept) - sizes_kept, sizes_kept)
+        ids = ids[np.repeat(starts, sizes_kept) + place]
+        last = place == np.repeat(sizes_kept, sizes_kept) - 1
+        after, follows = np.where(last, -1, place + 1), np.where(last, -1, np.append(ids[1:], -1)).astype(np.int32)
+        self.db.register("start", pa.table({"piece": piece, "place": place, "id": ids, "after": after, "follows": follows}))
+        for batch in self.db.sql(CONTRACT).to_arrow_reader(50_000):
+            lists, hexes = batch.column(1), batch.column(2)
+            raw, cuts = lists.flatten().to_numpy().astype("<u4").tobytes(), np.diff(lists.offsets.to_numpy()).cumsum() * 4
+            text, ends = bytes.fromhex("".join(hexes.to_pylist())), pc.utf8_length(hexes).to_numpy().cumsum() // 2
+            a = c = 0
+            for i, b, d in zip(batch.column(0).to_pylist(), cuts.tolist(), ends.tolist(), strict=True):
+                self.known[new[i]] = (raw[a:b], text[c:d])
+                a, c = b, d
         self.db.unregister("start")
 
     def sections(self, text: str) -> Iterator[list[str]]:
@@ -130,7 +142,7 @@ class Codec:
                 yield map(self._join, self.sections(texts[k]))
             else:
                 cut = [self.pattern.findall(t) for t in texts[k:end]]
-                self.learn(p for c in cut for p in c)
+                self.learn(chain.from_iterable(cut))
                 for c in cut:
                     yield iter([self._join(c, True)])
             k = end
@@ -138,8 +150,10 @@ class Codec:
     def _join(self, pieces: list[str], learned: bool = False) -> tuple[bytes, bytes]:
         if not learned:
             self.learn(pieces)
-        both = [self.known[p] for p in pieces]
-        return b"".join([x[0] for x in both]), b"".join([x[1] for x in both])
+        if not pieces:
+            return b"", b""
+        ids, decoded = zip(*map(self.known.__getitem__, pieces), strict=True)
+        return b"".join(ids), b"".join(decoded)
 
 
 def _each(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema: pa.Schema, ddl: str) -> DataFrame:
@@ -158,8 +172,6 @@ def _each(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema:
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, ids): the token ids of every text."""
-    import numpy as np
-
     def make(sections):
         return (np.frombuffer(b"".join(ids for ids, _ in sections), "<u4").astype("int32"),)
 
