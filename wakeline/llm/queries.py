@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_rules
+from . import bpe, jaccard_join, line_dedup, mixing, quality_rules, toxicity
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_ids(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op8_ngram_jaccard, op9_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
