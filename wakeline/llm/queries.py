@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_rules, toxicity
+from . import bpe, jaccard_join, line_dedup, mixing, personal_data, quality_rules, toxicity
 from .common import read_table
 
 
@@ -37,8 +37,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
