@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, knn_join, line_dedup, mixing, personal_data, quality_rules, toxicity
+from . import bpe, jaccard_join, knn_join, line_dedup, lm_score, mixing, personal_data, quality_rules, toxicity
 from .common import read_table
 
 
@@ -23,6 +23,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -47,7 +51,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op6_voronoi_knn, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe, op10_personal_data)
+    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op5_lm_score, op6_voronoi_knn, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op6_voronoi_knn": knn_join.ORACLE_SQL}
