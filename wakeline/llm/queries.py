@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, knn_join, line_dedup, lm_score, mixing, personal_data, quality_rules, toxicity
+from . import bpe, jaccard_join, knn_join, line_dedup, lm_score, mixing, personal_data, quality_rules, quotes, toxicity
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "text")
 
@@ -51,7 +55,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_line_dedup, op5_lm_score, op6_voronoi_knn, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe, op10_personal_data)
+    f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_quotation_linking, op4_line_dedup, op5_lm_score, op6_voronoi_knn, op7_toxicity, op8_ngram_jaccard, op9_byte_bpe, op10_personal_data)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op6_voronoi_knn": knn_join.ORACLE_SQL}
