@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,19 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that no later plan reads, and lets Spark drop the shuffle files of finished plans."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def words_of(text: Column) -> Column:
@@ -64,3 +77,8 @@ def fence(df: DataFrame) -> DataFrame:
     anew for each mention.
     """
     return df.withColumn("_fence", F.monotonically_increasing_id())
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds what Spark hands to a Python worker at a time, so that long texts do not add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,5 +27,6 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "v").where("root > v").select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
         least = large.groupBy("v").agg(F.min("root").alias("m"))
         small = large.join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root")
-        now = materialise(small.unionByName(least.select("v", F.col("m").alias("root"))).distinct(), "edges")
+        past, now = now, materialise(small.unionByName(least.select("v", F.col("m").alias("root"))).distinct(), "edges")
+        discard(past)
     raise RuntimeError("components did not settle")

@@ -5,15 +5,17 @@ frequency sketch (then by hash), rarest first; two sets that reach the threshold
 share a shingle of their prefixes, of a quarter of the larger set and a seventh of
 the smaller. Candidates are met by an equi-join on prefix shingles, thinned by
 the length filter, the positional filter (what can still follow the shared
-shingle) and a suffix filter (sets cut by hash range into ``CELLS`` parts overlap
-by the sum of the smaller part sizes at most), and verified once per pair.
+shingle) and a suffix filter (sets differ in at least as many shingles as their
+parity bitmaps of ``BITS`` bits differ in bits), and verified once per pair.
 
 What is wanted is the classes that links make, so pairs inside a class that is
-already known are not expanded. Exact copies join by fingerprint. Two star
-rounds then pair every member of a posting list with one hub of about its size;
-verified links give first components. The last round is exact: it pairs, over
-the prefixes, all that still lie in different components. A group of copies
-thus costs a few pairs a member, and no link between different texts is lost.
+already known are not expanded. Exact copies join by fingerprint. Star rounds then
+pair every member of a posting list with hubs of about its size, and verified
+links give components; after the first, rounds take only lists that are still
+mixed, and only pairs across components. The last round is exact: it pairs all
+that share a prefix shingle and still lie in different components. A group of
+copies thus costs a few pairs a member, and no link between different texts is
+lost.
 
 Order of size: postings are a quarter of the shingles; those in a single
 document go in one grouped count and a semi-join. Hot shingles stay out of
@@ -30,6 +32,7 @@ each with its own ``n_shingles``; a null doc_id is linked with nothing.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -38,28 +41,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, materialise
+from .common import SEPARATORS, discard, materialise, small_batches
 from .components import connected
 
 WORDS = 5
-CELLS = 16
+BITS = 1024
 #: Of the id filters and of the frequency sketch (slots).
 MOST_BITS, MOST_SLOTS = 27, 1 << 22
-CACHED_WORDS = 500_000
-_LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
+#: Slots of the sketch that are shipped and added together.
+CHUNK = 1024
+#: Rounds that pair the members of still mixed posting lists with hubs, and hubs a list in each.
+ROUNDS, HUBS = 1, 3
+#: Bytes hashed at a time.
+SEGMENT = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+_SEPARATOR = np.isin(np.arange(256), list(SEPARATORS.encode()))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,17 +64,90 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: _Words) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    tokens = (text or "").encode().translate(_LOWER).split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    w = np.array([words[t] for t in tokens], np.uint64)
+class _Hasher:
+    """64-bit hashes of the words in UTF-8 bytes, A-Z lower-cased.
+
+    Every byte stands for a random number; a word's hash is the polynomial of its
+    bytes, taken from running sums over a segment and moved to power 0.
+    """
+
+    def __init__(self) -> None:
+        values = _mixed(np.arange(1, 257, dtype=np.uint64) * _PRIME)
+        values[65:91] = values[97:123]
+        self.values = values
+        base = 0xD1342543DE82EF95
+        inverse = pow(base, -1, 1 << 64)
+        self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(SEGMENT, np.uint64(b))]), dtype=np.uint64) for b in (base, inverse))
+
+    def words(self, text: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes of a segment, and each word's first byte; ``breaks`` are bytes at which a new text begins."""
+        gap = _SEPARATOR[text]
+        start = ~gap
+        start[1:] &= gap[:-1]
+        inside = breaks[breaks < len(text)]
+        start[inside] |= ~gap[inside]
+        first = np.flatnonzero(start)
+        if not len(first):
+            return np.empty(0, np.uint64), first
+        # Separators count as nothing, so a word's sum may run up to the next word's first byte.
+        terms = self.values[text] * self.up[: len(text)]
+        terms[gap] = 0
+        sums = np.add.reduceat(terms, first)
+        return _mixed(sums * self.down[first]), first
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, word hashes) of every text of a string column, in order."""
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SEGMENT, "right")) - 1)
+            a, b = int(offsets[i]), int(offsets[j])
+            if b - a <= SEGMENT:
+                h, first = self.words(data[a:b], offsets[i : j + 1] - a)
+                cuts = np.searchsorted(first, offsets[i : j + 1] - a)
+                for k in range(i, j):
+                    yield k, h[cuts[k - i] : cuts[k - i + 1]]
+            else:
+                yield i, self._long(data[a:b])
+            i = j
+
+    def _long(self, text: np.ndarray) -> np.ndarray:
+        """Word hashes of a text of more than a segment, cut where words end."""
+        parts, a = [], 0
+        while a < len(text):
+            b = min(len(text), a + SEGMENT)
+            if b < len(text):
+                gaps = np.flatnonzero(_SEPARATOR[text[a:b]])
+                if len(gaps):
+                    b = a + int(gaps[-1]) + 1
+                else:  # one word of more than a segment
+                    ends = np.flatnonzero(_SEPARATOR[text[b:]])
+                    b = b + int(ends[0]) if len(ends) else len(text)
+                    parts.append(np.array([int.from_bytes(hashlib.sha256(bytes(text[a:b]).lower()).digest()[:8], "little")], np.uint64))
+                    a = b
+                    continue
+            parts.append(self.words(text[a:b], np.zeros(1, np.int64))[0])
+            a = b
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _shingles(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's words."""
+    if not len(w):
+        return w
     size = min(WORDS, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
         h = h * _PRIME + w[k : len(w) - size + 1 + k]
-    return np.unique(_mixed(h))
+    h = np.sort(_mixed(h))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def shingles(column: pa.Array, hasher: _Hasher) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, sorted distinct shingle hashes) of every text."""
+    for i, w in hasher.texts(column):
+        yield i, _shingles(w)
 
 
 def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -104,6 +173,16 @@ class _Ids:
         bit = _bit(ids, self.bits)
         return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose first column may be wanted: a cheap sieve before a join."""
+        shipped = df.sparkSession.sparkContext.broadcast(self)
+
+        def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(shipped.value.has(batch.column(0).to_numpy())))
+
+        return df.mapInArrow(sieve, df.schema)
+
 
 def _ceil(a: Column, times: int, by: int) -> Column:
     return F.floor((times * a + (by - 1)) / by)
@@ -114,32 +193,57 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, slot_bits: int) -> DataFrame:
-    """One row a document: set size, 128-bit fingerprint, part sizes; and rows (slot, times) of shingle counts."""
-    ddl = "doc_id long, n int, f1 long, f2 long, parts array<int>, slot long, times long"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("parts", pa.list_(pa.int32())), ("slot", pa.int64()), ("times", pa.int64())])
+    """One row a document: set size, 128-bit fingerprint, parity bitmap; and rows (chunk, times) of a partition's shingle counts."""
+    ddl = "doc_id long, n int, f1 long, f2 long, odd array<long>, chunk long, times binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("odd", pa.list_(pa.int64())), ("chunk", pa.int64()), ("times", pa.binary())])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words, times = _Words(), np.zeros(1 << slot_bits, np.int64)
+        hasher, times = _Hasher(), np.zeros(1 << slot_bits, np.int64)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for text in batch.column(1):
-                h = shingles(text.as_py(), words)
+            slots: list[np.ndarray] = []
+            for _, h in shingles(batch.column(1), hasher):
                 digest = xxhash.xxh3_128_digest(h.tobytes())
-                for column, value in zip(rows, (len(h), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=CELLS)), strict=True):
+                for column, value in zip(rows, (len(h), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), np.packbits(np.bincount((h >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).view(np.int64)), strict=True):
                     column.append(value)
-                np.add.at(times, (h >> np.uint64(64 - slot_bits)).astype(np.int64), 1)
-            none = pa.nulls(len(rows[0]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, t) for r, t in zip(rows, schema.types[1:5], strict=True)], none, none], schema=schema)
-        slot = np.flatnonzero(times)
-        for k in range(0, len(slot), 1 << 16):
-            part = slot[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(part), t) for t in schema.types[:5]], pa.array(part), pa.array(times[part])], schema=schema)
+                slots.append((h >> np.uint64(64 - slot_bits)).astype(np.int64))
+            times += np.bincount(np.concatenate(slots), minlength=len(times)) if slots else 0
+            none = [pa.nulls(len(rows[0]), t) for t in schema.types[5:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(r, t) for r, t in zip(rows, schema.types[1:5], strict=True)], *none], schema=schema)
+        for k in range(0, len(times), CHUNK):
+            if times[k : k + CHUNK].any():
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in schema.types[:5]], pa.array([k // CHUNK]), pa.array([times[k : k + CHUNK].tobytes()])], schema=schema)
 
     return _texts(docs).mapInArrow(profile, ddl)
 
 
+def _levels(chunks: DataFrame, slot_bits: int) -> np.ndarray:
+    """How often each slot's shingles occur, in eighths of a doubling, from the partitions' counts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, times in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = np.frombuffer(times.as_buffer(), np.int64) + total.get(k, 0)
+        levels = [(np.log2(np.maximum(t, 1)) * 8).astype(np.int16).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], names=["chunk", "level"])
+
+    summed = chunks.repartition("chunk").mapInArrow(add, "chunk long, level binary").toArrow()
+    level = np.zeros(1 << slot_bits, np.int16)
+    for k, part in zip(summed.column("chunk").to_pylist(), summed.column("level"), strict=True):
+        level[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(part.as_buffer(), np.int16)
+    return level
+
+
+def _wanted(batch: pa.RecordBatch, wanted: _Ids, hasher: _Hasher) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, shingles) of the wanted rows of a batch (id, text)."""
+    at = np.flatnonzero(wanted.has(batch.column(0).to_numpy(zero_copy_only=False)))
+    for k, h in shingles(batch.column(1).take(pa.array(at)), hasher):
+        yield int(at[k]), h
+
+
 def _postings(docs: DataFrame, wanted: _Ids, level: np.ndarray) -> DataFrame:
     """(h, doc, n, place): the prefix shingles of the wanted documents, ``place`` counted from the rarest."""
     shipped = docs.sparkSession.sparkContext.broadcast((wanted, level))
@@ -147,13 +251,12 @@ def _postings(docs: DataFrame, wanted: _Ids, level: np.ndarray) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, level = shipped.value
-        bits, words = int(math.log2(len(level))), _Words()
+        bits, hasher = int(math.log2(len(level))), _Hasher()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             hs, docs_, ns, places, held = [], [], [], [], 0
-            for i in np.flatnonzero(wanted.has(ids)):
-                h = shingles(batch.column(1)[i].as_py(), words)
+            for i, h in _wanted(batch, wanted, hasher):
                 n = len(h)
                 if not n:
                     continue
@@ -179,14 +282,14 @@ def _sets(docs: DataFrame, wanted: _Ids) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        hasher = _Hasher()
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ids_, sets, held = [], [], 0
-            for i in np.flatnonzero(shipped.value.has(ids)):
+            for i, h in _wanted(batch, shipped.value, hasher):
                 ids_.append(ids[i])
-                sets.append(shingles(batch.column(1)[i].as_py(), words).tobytes())
+                sets.append(h.tobytes())
                 held += len(sets[-1])
                 if held > 1 << 24:
                     yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
@@ -203,14 +306,21 @@ def _possible(x: str, y: str) -> Column:
     return (4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)) & (left >= _ceil(nx + ny, 3, 7))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+def _near(nx: str, ny: str, odd_x: str, odd_y: str) -> Column:
+    """Suffix filter: no more bits differ than shingles may."""
+    total = F.col(nx) + F.col(ny)
+    differ = F.aggregate(F.zip_with(odd_x, odd_y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ <= total - 2 * _ceil(total, 3, 7)
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of candidates that reach the threshold: suffix filter, then the sets themselves."""
-    part = lambda side: profiles.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("parts").alias(f"parts{side}"))
-    common = F.aggregate(F.zip_with("partsa", "partsb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(part("a"), "a").join(part("b"), "b").where(common >= _ceil(F.col("na") + F.col("nb"), 3, 7)).select("a", "b").distinct()
+    part = lambda side: profiles.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"odd{side}"))
+    pairs = pairs.join(part("a"), "a").join(part("b"), "b").where(_near("na", "nb", "odda", "oddb")).select("a", "b").distinct()
     pairs = materialise(pairs, "candidates")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    sets = _sets(docs, _Ids(ids, ids.count()))
+    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
+    wanted = _Ids(ids, ids.count())
+    sets = _sets(docs, wanted) if sets is None else wanted.keep(sets)
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,49 +342,75 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 
 def _star(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each posting with one hub of its shingle and about its size."""
+    """Pairs of each posting with one hub of its shingle and about its size; postings of one ``root`` are not paired."""
     banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.2) + turn / 2).cast("int"))
-    hub = banded.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("by"), "doc", "n", "place")).alias("hub"))
-    hub = hub.select("h", "band", F.col("hub.doc").alias("hub_doc"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place"))
-    met = banded.join(hub, ["h", "band"]).where((F.col("doc") != F.col("hub_doc")) & _possible("", "hub_"))
+    hub = banded.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("by"), "doc", "n", "place", "root")).alias("hub"))
+    hub = hub.select("h", "band", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("doc", "n", "place", "root")])
+    met = banded.join(hub, ["h", "band"]).where((F.col("root") != F.col("hub_root")) & _possible("", "hub_"))
     return met.select(*_ordered(F.col("doc"), F.col("hub_doc"))).distinct()
 
 
-def _across(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs that share a prefix shingle, may reach the threshold and lie in different components."""
-    own = postings.join(roots.select(F.col("v").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+def _mixed_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings of lists that hold more than one component, with ``root`` and ``top``, the list's largest component."""
+    own = postings.drop("root", "top").join(roots.select(F.col("v").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     own = materialise(own, "rooted")
-    mixed = own.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    own = materialise(own.join(mixed, "h"), "mixed")
-    x = own.select("h", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "place", "root")])
-    y = own.where(F.col("place") <= F.col("n") - _ceil(F.col("n"), 6, 7)).select("h", *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "place", "root")])
-    smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_doc") < F.col("x_doc")))
-    met = x.join(y, "h").where(smaller & (F.col("x_root") != F.col("y_root")) & _possible("x_", "y_"))
+    lists = own.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("k"), F.max(F.struct("m", "root")).alias("t"))
+    return materialise(own.join(lists.where("k > 1").select("h", F.col("t.root").alias("top")), "h"), "mixed")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs that share a prefix shingle, may reach the threshold and lie in different components.
+
+    One side at least of such a pair is outside its list's largest component.
+    """
+    columns = ("doc", "n", "place", "root", "odd")
+    x = mixed.where("root <> top").select("h", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = mixed.select("h", *[F.col(c).alias(f"y_{c}") for c in columns])
+    indexed = lambda s: F.col(f"{s}place") <= F.col(f"{s}n") - _ceil(F.col(f"{s}n"), 6, 7)
+    smaller = F.when(F.col("x_n") < F.col("y_n"), indexed("x_")).otherwise(indexed("y_"))
+    met = x.join(y, "h").where(smaller & (F.col("x_root") != F.col("y_root")) & _possible("x_", "y_") & _near("x_n", "y_n", "x_odd", "y_odd"))
     return met.select(*_ordered(F.col("x_doc"), F.col("y_doc"))).distinct()
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of every row, and (v, root) of every document that links to a smaller one."""
+    small_batches(docs.sparkSession)
     slot_bits = max(12, min(int(math.log2(MOST_SLOTS)), math.ceil(math.log2(docs.count() + 1))))
     found = materialise(_profiles(docs, slot_bits), "profiles")
-    profiles = found.where("slot is null").drop("slot", "times")
-    counts = found.where("slot is not null").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
-    level = np.zeros(1 << slot_bits, np.int16)
-    level[counts.column("slot").to_numpy()] = np.log2(counts.column("times").to_numpy()) * 8
+    profiles = found.where("chunk is null").drop("chunk", "times")
+    level = _levels(found.where("chunk is not null").select("chunk", "times"), slot_bits)
 
     full = profiles.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     copies = full.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     copies = materialise(copies, "copies")
     reps = materialise(classes.select(F.col("rep").alias("id")).distinct(), "representatives")
-    postings = _postings(docs, _Ids(reps, reps.count()), level)
-    shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    postings = materialise(postings.join(shared, "h"), "postings")
+    prefixes = materialise(_postings(docs, _Ids(reps, reps.count()), level), "prefixes")
+    shared = materialise(prefixes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "shared")
+    postings = materialise(_Ids(shared, shared.count()).keep(prefixes).join(shared, "h").withColumn("root", F.col("doc")), "postings")
+    discard(prefixes, shared, reps)
 
     first = _verify(docs, _star(postings, 0).unionByName(_star(postings, 1)).distinct(), full)
-    known = materialise(copies.unionByName(first), "links")
-    rest = _verify(docs, _across(postings, connected(known)), full)
-    return profiles.select("doc_id", "n"), connected(known.unionByName(rest))
+    roots = connected(copies.unionByName(first))
+    mixed = _mixed_lists(postings, roots)
+    discard(postings)
+    ids = materialise(mixed.select(F.col("doc").alias("id")).distinct(), "mixed-ids")
+    sets = materialise(_sets(docs, _Ids(ids, ids.count())), "mixed-sets")
+    discard(ids)
+    for turn in range(ROUNDS):
+        pairs = _star(mixed, 2 + HUBS * turn)
+        for more in range(1, HUBS):
+            pairs = pairs.unionByName(_star(mixed, 2 + HUBS * turn + more))
+        linked = materialise(_verify(docs, pairs.distinct(), full, sets), "links")
+        if linked.isEmpty():
+            break
+        roots = connected(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(linked))
+        mixed = _mixed_lists(mixed, roots)
+    odd = full.select(F.col("doc_id").alias("doc"), F.col("n").alias("n"), "odd")
+    rest = _verify(docs, _across(mixed.join(odd, ["doc", "n"])), full, sets)
+    joined = connected(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    discard(sets, mixed)
+    return profiles.select("doc_id", "n"), joined
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
