@@ -14,10 +14,10 @@ def hours_between(start: Column, end: Column) -> Column:
 
 def entropy_by(rows: DataFrame, key: str, value: str, base: float | None = None, one_value: float | None = 0.0) -> DataFrame:
     """(key, entropy): Shannon entropy of ``value`` over its number of values (or ``base``); NULL without any."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").cast("double").alias("n"))
-    totals = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"), F.count("*").alias("k"))
-    nats = F.log("t") - F.col("s") / F.col("t")
-    scaled = nats / F.log(F.lit(base)) if base else F.when(F.col("k") > 1, nats / F.log(F.col("k").cast("double"))).otherwise(F.lit(one_value))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").cast("double").alias("_n"))
+    totals = counts.groupBy(key).agg(F.sum("_n").alias("_t"), F.sum(F.col("_n") * F.log("_n")).alias("_s"), F.count("*").alias("_k"))
+    nats = F.log("_t") - F.col("_s") / F.col("_t")
+    scaled = nats / F.log(F.lit(base)) if base else F.when(F.col("_k") > 1, nats / F.log(F.col("_k").cast("double"))).otherwise(F.lit(one_value))
     return totals.select(key, scaled.alias("entropy"))
 
 
