@@ -9,6 +9,7 @@ from wakeline.functions.stats import entropy_by, quantile, share
 from wakeline.functions.text import FLOW_COUNTRY_NAMES, clean_name, destination_candidates, exact_match, fuzzy_score, is_garbage, MATCH_THRESHOLD
 from wakeline.sources.adapters import SHIP_TYPES
 
+# Edges and names of the stay-duration bins.
 BIN_EDGES = [0, 2, 4, 6, 8, 12, 18, 24, 36, 48, 72, 168]
 BIN_NAMES = ["<2h", "2-4h", "4-6h", "6-8h", "8-12h", "12-18h", "18-24h", "24-36h", "36-48h", "48-72h", "72-168h", ">7d"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo, stats, text
@@ -12,6 +12,7 @@ from wakeline.operators import aggregates as agg
 from wakeline.operators import ml, relational, spatial, trajectory
 from wakeline.operators import visits as visit_ops
 from wakeline.sources import adapters as a
+from wakeline.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -432,6 +433,86 @@ def top_vessels_per_type(spark, d):
     return agg.top_vessels_per_type(both.groupBy("mmsi").agg(F.count("*").alias("n"), F.max("ship_type").alias("ship_type")))
 
 
+# Views of the map and the dashboards
+
+
+@query
+def track_prefix(spark, d):
+    w = Window.partitionBy("mmsi").orderBy("ts")
+    return a.positions(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 20").groupBy("mmsi").agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+
+
+@query
+def observed_span(spark, d):
+    e = a.table(spark, d, "events").groupBy(F.col("user_id").alias("mmsi")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return e.where(F.col("last_seen") - F.col("first_seen") > F.expr("interval '3' day")).orderBy(F.desc(F.col("last_seen") - F.col("first_seen")), "mmsi").limit(50)
+
+
+@query
+def vessels_anywhere(spark, d):
+    return a.visits(spark, d).select("mmsi").union(a.positions(spark, d).select("mmsi")).distinct()
+
+
+@query
+def arrivals_by_hour(spark, d):
+    counts = a.visits(spark, d).groupBy(F.hour("arrival_time").alias("hour")).agg(F.count("*").alias("n"))
+    return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query
+def draught_bars(spark, d):
+    r = agg.routes(_voyages(spark, d), 0.0)
+    return r.select("origin_port_id", "destination_port_id", F.round(F.least(F.lit(100.0), F.col("avg_draught") / 15.0 * 100), 6).alias("avg_pct"), F.round(F.least(F.lit(100.0), F.col("max_draught") / 15.0 * 100), 6).alias("max_pct"))
+
+
+@query
+def route_ids(spark, d):
+    r = agg.routes(_voyages(spark, d)).select(F.concat_ws("_", "origin_port_id", "destination_port_id").alias("route_id"), "trips")
+    return r.select("route_id", F.split_part("route_id", F.lit("_"), F.lit(1)).cast("long").alias("origin_id"), F.split_part("route_id", F.lit("_"), F.lit(2)).cast("long").alias("dest_id"), "trips")
+
+
+@query
+def destination_port_fallback(spark, d):
+    p = a.ports(spark, d)
+    by_code = p.groupBy("un_locode").agg(F.min("port_id").alias("code_id"))
+    by_name = p.select(F.lower("name").alias("lower_name"), F.col("port_id").alias("name_id"))
+    names = a.visits(spark, d).where("declared_destination is not null").groupBy("declared_destination").agg(F.count("*").alias("n"))
+    out = names.join(by_code, F.col("declared_destination") == F.col("un_locode"), "left").join(by_name, F.lower("declared_destination") == F.col("lower_name"), "left")
+    return out.select("declared_destination", "n", F.coalesce("code_id", "name_id").alias("port_id"))
+
+
+@query
+def known_destinations(spark, d):
+    return a.visits(spark, d).groupBy(relational.is_known(F.col("declared_destination")).alias("known")).agg(F.count("*").alias("n"))
+
+
+@query
+def feature_labels(spark, d):
+    f = spark.createDataFrame([(x,) for x in agg.size_features(a.visits(spark, d)).columns], "feature string")
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("feature", "^pct_", ""), "_[mh]$", ""), "_int$", "")
+    return f.select("feature", F.initcap(F.replace(clean, F.lit("_"), F.lit(" "))).alias("label"))
+
+
+@query
+def chord_distances(spark, d):
+    p = a.ports(spark, d)
+    o = p.where("port_id = 0").select(F.col("lon").alias("lon0"), F.col("lat").alias("lat0"))
+    return p.crossJoin(F.broadcast(o)).select("port_id", F.round(geo.chord_m(F.col("lon0"), F.col("lat0"), F.col("lon"), F.col("lat")), 3).alias("chord_m"))
+
+
+@query
+def route_payloads(spark, d):
+    v = _voyages(spark, d)
+    return sinks.route_payload(agg.routes(v), agg.route_vessels(v), a.ports(spark, d))
+
+
+@query
+def json_safe(spark, d):
+    e = a.table(spark, d, "events")
+    odd = e.select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).when(F.col("event_id") % 5 == 1, F.lit(float("inf"))).otherwise(F.col("value")).alias("value"))
+    return sinks.finite(odd)
+
+
 # Machine learning
 
 

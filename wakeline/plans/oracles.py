@@ -214,3 +214,19 @@ ORACLE_SQL["feature_matrix"] = (
     + " left join (select un_locode, min(port_id) as port_id, arg_min(name, port_id) as port_name, arg_min(country_code, port_id) as country_code from (" + _with(PORTS) + "select * from ports) group by 1) using (un_locode) where total_visits >= 20"
 )
 ORACLE_SQL["draught_utilization"] = "select un_locode, round(p90_draught_m / nullif(length(un_locode) - 5 + floor(p90_draught_m), 0), 6) as draught_utilization from (" + ORACLE_SQL["feat_size"] + ")"
+
+ORACLE_SQL |= {
+    "track_prefix": _with(PORTS, POSITIONS) + "select mmsi, max(ts) as last_ts, count(*) as n from (select * from positions qualify row_number() over (partition by mmsi order by ts) <= 20) group by 1",
+    "observed_span": "select user_id as mmsi, min(ts) as first_seen, max(ts) as last_seen from events group by 1 having max(ts) - min(ts) > interval 3 day order by max(ts) - min(ts) desc, mmsi limit 50",
+    "vessels_anywhere": "select o_custkey as mmsi from orders join lineitem on o_orderkey = l_orderkey union select user_id from events",
+    "arrivals_by_hour": _with(PORTS, VISITS) + "select h::int as hour, count(arrival_time) as n from range(24) r(h) left join visits on hour(arrival_time) = h group by 1",
+    "draught_bars": _with(PORTS, VISITS, VOYAGES) + "select origin_port_id, destination_port_id, round(least(100.0, coalesce(avg_draught, 0) / 15.0::double * 100), 6) as avg_pct, round(least(100.0, coalesce(max_draught, 0) / 15.0::double * 100), 6) as max_pct from route_rows",
+    "route_ids": _with(PORTS, VISITS, VOYAGES) + "select origin_port_id || '_' || destination_port_id as route_id, origin_port_id as origin_id, destination_port_id as dest_id, trips from route_rows",
+    "destination_port_fallback": _with(PORTS, VISITS) + """select declared_destination, n, coalesce((select min(port_id) from ports where un_locode = declared_destination), (select min(port_id) from ports where lower(name) = lower(declared_destination))) as port_id
+      from (select declared_destination, count(*) as n from visits where declared_destination is not null group by 1)""",
+    "known_destinations": _with(PORTS, VISITS) + "select coalesce(lower(trim(declared_destination)), '') not in ('', '—', '-', 'unknown', 'no-code', 'no-locode') as known, count(*) as n from visits group by 1",
+    "chord_distances": _with(PORTS) + f""", c as (select port_id, {_EARTH} * cos(radians(lat)) * cos(radians(lon)) as x, {_EARTH} * cos(radians(lat)) * sin(radians(lon)) as y, {_EARTH} * sin(radians(lat)) as z from ports)
+      select a.port_id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 3) as chord_m from c a, c b where b.port_id = 0""",
+    "json_safe": "select event_id, case when event_id % 5 > 1 then value end as value from events",
+    "dest_clean": "select p_partkey, 'O ' || upper(p_name) || ' DENMARK' as cleaned from part",
+}

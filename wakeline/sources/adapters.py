@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The ship types that are counted on their own, the rest being Other.
 SHIP_TYPES = ["Cargo", "Tanker", "Passenger", "Fishing", "Tug", "HSC", "Dredging", "Sailing", "Towing", "Pilot", "SAR", "Other"]
 
 
