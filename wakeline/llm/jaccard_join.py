@@ -53,7 +53,7 @@ CHUNK = 1024
 #: Rounds that pair the members of still mixed posting lists with hubs, and hubs a list in each.
 ROUNDS, HUBS = 1, 3
 #: Bytes hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = np.isin(np.arange(256), list(SEPARATORS.encode()))
 
@@ -267,7 +267,7 @@ def _postings(docs: DataFrame, wanted: _Ids, level: np.ndarray) -> DataFrame:
                 ns.append(np.full(len(prefix), n, np.int32))
                 places.append(np.arange(len(prefix), dtype=np.int32))
                 held += len(prefix)
-                if held > 500_000:
+                if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs_, ns, places)], schema=schema)
                     hs, docs_, ns, places, held = [], [], [], [], 0
             if held:
@@ -291,7 +291,7 @@ def _sets(docs: DataFrame, wanted: _Ids) -> DataFrame:
                 ids_.append(ids[i])
                 sets.append(h.tobytes())
                 held += len(sets[-1])
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
                     ids_, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
@@ -313,14 +313,13 @@ def _near(nx: str, ny: str, odd_x: str, odd_y: str) -> Column:
     return differ <= total - 2 * _ceil(total, 3, 7)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def _verify(docs: DataFrame, pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs (a, b) of candidates that reach the threshold: suffix filter, then the sets themselves."""
     part = lambda side: profiles.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"odd{side}"))
     pairs = pairs.join(part("a"), "a").join(part("b"), "b").where(_near("na", "nb", "odda", "oddb")).select("a", "b").distinct()
     pairs = materialise(pairs, "candidates")
     ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidate-ids")
-    wanted = _Ids(ids, ids.count())
-    sets = _sets(docs, wanted) if sets is None else wanted.keep(sets)
+    sets = _sets(docs, _Ids(ids, ids.count()))
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,22 +393,19 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = connected(copies.unionByName(first))
     mixed = _mixed_lists(postings, roots)
     discard(postings)
-    ids = materialise(mixed.select(F.col("doc").alias("id")).distinct(), "mixed-ids")
-    sets = materialise(_sets(docs, _Ids(ids, ids.count())), "mixed-sets")
-    discard(ids)
     for turn in range(ROUNDS):
         pairs = _star(mixed, 2 + HUBS * turn)
         for more in range(1, HUBS):
             pairs = pairs.unionByName(_star(mixed, 2 + HUBS * turn + more))
-        linked = materialise(_verify(docs, pairs.distinct(), full, sets), "links")
+        linked = materialise(_verify(docs, pairs.distinct(), full), "links")
         if linked.isEmpty():
             break
         roots = connected(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(linked))
         mixed = _mixed_lists(mixed, roots)
     odd = full.select(F.col("doc_id").alias("doc"), F.col("n").alias("n"), "odd")
-    rest = _verify(docs, _across(mixed.join(odd, ["doc", "n"])), full, sets)
+    rest = _verify(docs, _across(mixed.join(odd, ["doc", "n"])), full)
     joined = connected(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(rest))
-    discard(sets, mixed)
+    discard(mixed)
     return profiles.select("doc_id", "n"), joined
 
 
