@@ -4,8 +4,9 @@ A text is cut into pieces by the tokenizer's pattern. The pieces a partition has
 not met yet go to DuckDB as rows (piece, position, token); a recursive query
 joins neighbouring tokens with the merge table and contracts, in each round,
 every piece's leftmost pair of minimum rank, until no piece has a pair left. A
-piece that is itself in the vocabulary starts, and ends, as one row. Ordered
-aggregation of the final rows gives a piece's ids and its decoded bytes.
+piece that is itself in the vocabulary starts, and ends, as one row. Aggregation
+of the final rows, ordered by piece and position and read by one thread, gives a
+piece's ids and its decoded bytes.
 
 The merge table is derived from the ranks alone: every split of a token into two
 tokens. The vocabulary (50,000 entries) is read once on the driver and shipped
@@ -30,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CACHE = 500_000
 SLICE = 4_000_000
 
@@ -53,9 +56,10 @@ with recursive state(round, piece, place, id, after, follows, rank) as (
       ) b on s.piece = b.piece where s.place <> b.gone)
   ) left join merges on pair = touched
 ), final as (
-  select s.piece, s.place, s.id from state s join (select piece, max(round) as round from state group by piece) using (piece, round)
+  select s.piece, s.place, s.id from state s join (select piece, max(round) as round from state where place = 0 group by piece) using (piece, round)
 )
-select piece, list(id order by place) as ids, string_agg(hex, '' order by place) as decoded from final join vocabulary using (id) group by piece
+select piece, list(id) as ids, string_agg(hex, '') as decoded
+from (select piece, id, hex from final join vocabulary using (id) order by piece, place) group by piece
 """
 
 
@@ -74,6 +78,7 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}  # the generation before; a piece met again moves on
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs, tokens = [], []
         for token, rank in ranks.items():
@@ -92,9 +97,15 @@ class Codec:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encodes the pieces that are not known yet."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        new = []
+        for p in set(pieces) - self.known.keys():
+            both = self.older.get(p)
+            if both is None:
+                new.append(p)
+            else:
+                self.known[p] = both
         for k in range(0, len(new), 50_000):
             self._contract(new[k : k + 50_000])
 
@@ -156,13 +167,26 @@ class Codec:
         return b"".join(ids), b"".join(decoded)
 
 
+_codecs: dict[tuple, Codec] = {}
+
+
+def _codec(ranks: dict[bytes, int], pattern: str, key: tuple) -> Codec:
+    """The worker's codec, kept from task to task."""
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(ranks, pattern)
+    return _codecs[key]
+
+
 def _each(docs: DataFrame, ranks: dict[bytes, int], pattern: str, make, schema: pa.Schema, ddl: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    key = (pattern, len(ranks), hashlib.sha256(b"".join(b"%d %b " % (r, t) for t, r in ranks.items())).hexdigest())
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            codec = codec or Codec(*shipped.value)
+            codec = codec or _codec(*shipped.value, key)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             columns = list(zip(*map(make, codec.encode(texts)), strict=True)) or [[] for _ in schema.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.types[0]), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
