@@ -102,8 +102,9 @@ def _depths(nodes: DataFrame) -> DataFrame:
     now = materialise(nodes.select("conv_id", "turn", F.col("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "depths")
     while not now.where("up is not null").isEmpty():
         above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        step = now.join(above, ["conv_id", "up"], "left").select("conv_id", "turn", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
-        past, now = now, materialise(step, "depths")
+        moving = now.where("up is not null").join(above, ["conv_id", "up"], "left")
+        moved = moving.select("conv_id", "turn", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        past, now = now, materialise(now.where("up is null").unionByName(moved), "depths")
         discard(past)
     return now.drop("up")
 
