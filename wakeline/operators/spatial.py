@@ -44,25 +44,28 @@ def nearest_within(points: DataFrame, key: str, places: DataFrame, radius_m: flo
     return points.select(key).join(best, key, "left").select(key, F.col("b.place_id").alias("place_id"), F.col("b.distance_m").alias("distance_m"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
-    """Points with the nearest place at any distance.
+def nearest_place(points: DataFrame, places: DataFrame, near_m: float = 20_000.0, most_lat: float = 80.0) -> DataFrame:
+    """Points with the nearest place at any distance; (distance, place_id) breaks ties.
 
-    The places, of a checked size, become one array beside each row; beyond that size
-    rows look in rings of growing radius instead.
+    A cell's array holds the places of it and its neighbours, so it has every place
+    within ``near_m`` of a point inside; a minimum within that is the nearest of
+    all. Only points without one are compared with all places, whose number is
+    checked against MOST_BROADCAST.
     """
-    n = places.limit(MOST_BROADCAST + 1).count()
-    if n > 2_000:
-        found, left, radius = None, points.withColumn("_row", F.monotonically_increasing_id()), 20_000.0
-        while radius < 2.1e7:
-            step = within_radius(left, places, radius).groupBy("_row").agg(F.min(F.struct("distance_m", "place_id")).alias("near"))
-            hit = left.join(step, "_row")
-            found = hit if found is None else found.unionByName(hit)
-            left, radius = left.join(step, "_row", "left_anti"), radius * 10
-        return found.drop("_row").select("*", F.col("near.place_id").alias("place_id"), F.col("near.distance_m").alias("distance_m")).drop("near")
-    packed = places.agg(F.collect_list(F.struct("place_id", "place_lon", "place_lat")).alias("_places"))
-    scored = F.transform("_places", lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["place_lon"], p["place_lat"]).alias("d"), p["place_id"].alias("id")))
-    joined = points.join(F.broadcast(packed), F.lit(True)).withColumn("_near", F.array_min(scored))
-    return joined.select(*points.columns, F.col("_near.id").alias("place_id"), F.col("_near.d").alias("distance_m"))
+    if places.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} places")
+    tall = math.degrees(near_m / EARTH_RADIUS_M)
+    wide = tall / math.cos(math.radians(most_lat))
+    px, py = F.floor(F.col("place_lon") / wide), F.floor(F.col("place_lat") / tall)
+    place = F.struct("place_id", "place_lon", "place_lat")
+    spread = places.withColumn("_x", F.explode(F.array(px - 1, px, px + 1))).withColumn("_y", F.explode(F.array(py - 1, py, py + 1)))
+    cells = spread.groupBy("_x", "_y").agg(F.collect_list(place).alias("_near"))
+    every = places.agg(F.collect_list(place).alias("_all"))
+    best = lambda c: F.array_min(F.transform(c, lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["place_lon"], p["place_lat"]).alias("d"), p["place_id"].alias("id"))))
+    joined = points.withColumn("_x", F.floor(F.col("lon") / wide)).withColumn("_y", F.floor(F.col("lat") / tall)).join(F.broadcast(cells), ["_x", "_y"], "left").withColumn("_found", best("_near"))
+    sure = (F.col("_found.d") <= near_m) & (F.abs("lat") <= most_lat)
+    joined = joined.join(F.broadcast(every), F.lit(True)).withColumn("_best", F.when(sure, F.col("_found")).otherwise(best("_all")))
+    return joined.select(*points.columns, F.col("_best.id").alias("place_id"), F.col("_best.d").alias("distance_m"))
 
 
 def geofences(points: DataFrame, key: str, buffer_nm: float = 1.5) -> DataFrame:
