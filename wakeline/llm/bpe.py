@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-CACHE = 500_000
-SLICE = 4_000_000
+CACHE = 240_000
+SLICE = 2_000_000
 
 CONTRACT = """
 with recursive state(round, piece, place, id, after, follows, rank) as (
@@ -79,7 +79,7 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}  # the generation before; a piece met again moves on
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         pairs, tokens = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -106,8 +106,8 @@ class Codec:
                 new.append(p)
             else:
                 self.known[p] = both
-        for k in range(0, len(new), 50_000):
-            self._contract(new[k : k + 50_000])
+        for k in range(0, len(new), 30_000):
+            self._contract(new[k : k + 30_000])
 
     def _contract(self, new: list[str]) -> None:
         raws = [p.encode() for p in new]

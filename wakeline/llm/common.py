@@ -82,3 +82,17 @@ def fence(df: DataFrame) -> DataFrame:
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds what Spark hands to a Python worker at a time, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Returns a worker's unused memory to the system; workers live on between stages and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library

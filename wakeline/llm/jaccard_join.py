@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, discard, materialise, small_batches
+from .common import SEPARATORS, discard, give_back, materialise, small_batches
 from .components import connected
 
 WORDS = 5
@@ -215,6 +215,7 @@ def _profiles(docs: DataFrame, slot_bits: int) -> DataFrame:
         for k in range(0, len(times), CHUNK):
             if times[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in schema.types[:5]], pa.array([k // CHUNK]), pa.array([times[k : k + CHUNK].tobytes()])], schema=schema)
+        give_back()
 
     return _texts(docs).mapInArrow(profile, ddl)
 
@@ -272,6 +273,7 @@ def _postings(docs: DataFrame, wanted: _Ids, level: np.ndarray) -> DataFrame:
                     hs, docs_, ns, places, held = [], [], [], [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs_, ns, places)], schema=schema)
+        give_back()
 
     return _texts(docs).mapInArrow(post, "h long, doc long, n int, place int")
 
@@ -295,6 +297,7 @@ def _sets(docs: DataFrame, wanted: _Ids) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
                     ids_, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+        give_back()
 
     return _texts(docs).mapInArrow(build, "doc long, shingles binary")
 
