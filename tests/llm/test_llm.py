@@ -392,6 +392,21 @@ def test_bpe_equals_tiktoken(spark, docs, nothing):
     assert bpe.digest_documents(nothing, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_pieces_beyond_one_query():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(7)
+    letters = ["".join(rng.choices("abcdefghijklmnop", k=n)) for n in (20_000, 3_000)]
+    signs = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randrange(2, 60))) for _ in range(15_000))]
+    for texts in (letters, signs):
+        for t, sections in zip(texts, bpe.Codec(ranks, public_tokenizers.PATTERN).encode(texts), strict=True):
+            ids, decoded = map(b"".join, zip(*sections, strict=True))
+            assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(t) and decoded == t.encode()
+
+
 def test_bpe_sections_of_a_long_text(monkeypatch):
     import public_tokenizers
 

@@ -4,9 +4,11 @@ A text is cut into pieces by the tokenizer's pattern. The pieces a partition has
 not met yet go to DuckDB as rows (piece, position, token); a recursive query
 joins neighbouring tokens with the merge table and contracts, in each round,
 every piece's leftmost pair of minimum rank, until no piece has a pair left. A
-piece that is itself in the vocabulary starts, and ends, as one row. Aggregation
-of the final rows, ordered by piece and position and read by one thread, gives a
-piece's ids and its decoded bytes.
+piece that is itself in the vocabulary starts, and ends, as one row. As the query
+keeps the rows of all its rounds, pieces go to it in batches of at most ``ROWS`` such
+rows; a piece that needs more alone stops after as many rounds as fit and goes on
+from there in the next query. Aggregation of the final rows, ordered by piece and
+position and read by one thread, gives a piece's ids and its decoded bytes.
 
 The merge table is derived from the ranks alone: every split of a token into two
 tokens. The vocabulary (50,000 entries) is read once on the driver and shipped
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -35,6 +39,7 @@ from .common import small_batches
 
 CACHE = 240_000
 SLICE = 2_000_000
+ROWS = 2_000_000
 
 CONTRACT = """
 with recursive state(round, piece, place, id, after, follows, rank) as (
@@ -53,15 +58,22 @@ with recursive state(round, piece, place, id, after, follows, rank) as (
             select piece, min(rank::bigint * 4294967296 + place) as least, arg_min(after, rank::bigint * 4294967296 + place) as second
             from state where rank is not null group by piece)
         ) best join state next on next.piece = best.piece and next.place = best.second
-      ) b on s.piece = b.piece where s.place <> b.gone)
+      ) b on s.piece = b.piece where s.place <> b.gone and s.round < $rounds)
   ) left join merges on pair = touched
 ), final as (
-  select s.piece, s.place, s.id from state s join (select piece, max(round) as round from state where place = 0 group by piece) using (piece, round)
+  select s.piece, s.place, s.id, s.after, s.follows, s.rank from state s join (select piece, max(round) as round from state where place = 0 group by piece) using (piece, round)
 )
+"""
+
+FINISHED = """
 select piece, list(id) as ids, string_agg(hex, '') as decoded
-from (select piece, id, hex from final join vocabulary using (id) order by piece, place) group by piece
+from (select piece, id, hex from {} join vocabulary using (id) order by piece, place) group by piece
 """
 
+WHOLE = CONTRACT + FINISHED.format("final")
+
+PART = "create or replace table reached as" + CONTRACT + "select *, bool_or(rank is not null) over (partition by piece) as live from final"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -79,7 +91,8 @@ class Codec:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}  # the generation before; a piece met again moves on
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        spill = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
         pairs, tokens = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -106,10 +119,19 @@ class Codec:
                 new.append(p)
             else:
                 self.known[p] = both
-        for k in range(0, len(new), 30_000):
-            self._contract(new[k : k + 30_000])
-
-    def _contract(self, new: list[str]) -> None:
+        batch, rows = [], 0
+        for p in new:
+            n = 1 if (raw := p.encode()) in self.ranks else len(raw) * (len(raw) + 1) // 2
+            if batch and (rows + n > ROWS or len(batch) == 30_000):
+                self._contract(batch, rows)
+                batch, rows = [], 0
+            batch.append(p)
+            rows += n
+        if batch:
+            self._contract(batch, rows)
+
+    def _contract(self, new: list[str], rows: int) -> None:
+        """Encodes pieces; ``rows``: what the rounds have together at most."""
         raws = [p.encode() for p in new]
         whole = np.array([self.ranks.get(r, -1) for r in raws], np.int32)
         sizes = np.array([len(r) for r in raws])
@@ -122,8 +144,24 @@ class Codec:
         ids = ids[np.repeat(starts, sizes_kept) + place]
         last = place == np.repeat(sizes_kept, sizes_kept) - 1
         after, follows = np.where(last, -1, place + 1), np.where(last, -1, np.append(ids[1:], -1)).astype(np.int32)
-        self.db.register("start", pa.table({"piece": piece, "place": place, "id": ids, "after": after, "follows": follows}))
-        for batch in self.db.sql(CONTRACT).to_arrow_reader(50_000):
+        start = pa.table({"piece": piece, "place": place, "id": ids, "after": after, "follows": follows})
+        if rows <= ROWS:
+            self.db.register("start", start)
+            self._keep(new, self.db.sql(WHOLE, params={"rounds": len(piece)}))
+            self.db.unregister("start")
+            return
+        self._table("start", {name: start[name] for name in start.column_names})
+        left = len(piece)
+        while left:
+            self.db.execute(PART, {"rounds": max(1, ROWS // left)})
+            self._keep(new, self.db.sql(FINISHED.format("(from reached where not live)")))
+            self.db.execute("create or replace table start as select piece, place, id, after, follows from reached where live")
+            left = self.db.execute("select count(*) from start").fetchone()[0]
+        self.db.execute("drop table reached; drop table start")
+
+    def _keep(self, new: list[str], finished) -> None:
+        """Takes over the pieces that have no pair left."""
+        for batch in finished.to_arrow_reader(50_000):
             lists, hexes = batch.column(1), batch.column(2)
             raw, cuts = lists.flatten().to_numpy().astype("<u4").tobytes(), np.diff(lists.offsets.to_numpy()).cumsum() * 4
             text, ends = bytes.fromhex("".join(hexes.to_pylist())), pc.utf8_length(hexes).to_numpy().cumsum() // 2
@@ -131,7 +169,6 @@ class Codec:
             for i, b, d in zip(batch.column(0).to_pylist(), cuts.tolist(), ends.tolist(), strict=True):
                 self.known[new[i]] = (raw[a:b], text[c:d])
                 a, c = b, d
-        self.db.unregister("start")
 
     def sections(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, in lists of bounded length."""
