@@ -169,6 +169,21 @@ def test_quotes_are_linked_and_cut(spark):
     assert got[2, 5].text is None and got[None, 1].depth == 0
 
 
+def test_quotes_of_what_the_own_conversation_says_first(spark):
+    line = "this is the very line"
+    rows = [
+        (1, 3, "u", f"> {line}\n{line}"),
+        (2, 0, "u", line),
+        (2, 4, "u", f"> {line}\nyes"),
+        (3, 0, "u", f"> {line}\nno"),
+        (3, 1, "u", line),
+        (4, 0, "u", "> only said here today\nonly said here today"),
+    ]
+    out = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.conv_id, r.turn): [tuple(x) for x in r.linked] for r in out}
+    assert got == {(1, 3): [(2, 0)], (2, 0): [], (2, 4): [(2, 0)], (3, 0): [(1, 3)], (3, 1): [], (4, 0): []}
+
+
 def test_quotes_edges(spark):
     schema = "conv_id long, turn long, role string, text string, row int, depth int"
     assert quotes.reply_ordered(spark.createDataFrame([], schema)).count() == 0

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import bind, discard, materialise
 
 LEAST_WORDS = 3
+PARTS = 32
 
 
 def _level(line: Column) -> Column:
@@ -91,7 +92,14 @@ def link(parsed: DataFrame) -> DataFrame:
     anywhere = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     met = quoted.join(inside, ["conv_id", "h"], "left").join(anywhere, "h", "left")
     near = F.when(F.col("in_turn") < F.col("turn"), F.struct(F.col("conv_id"), F.col("in_turn").alias("turn")))
-    far = F.when((F.col("first.conv_id") != F.col("conv_id")), F.col("first"))
+    own = F.col("first.conv_id") == F.col("conv_id")
+    # The earliest of the other conversations, where a conversation quotes what it is itself the first to say. In parts, so that a common passage is not one task's.
+    asked = met.where(near.isNull() & own).select("h", F.col("conv_id").alias("own_conv")).distinct()
+    part = F.pmod(F.xxhash64("conv_id"), F.lit(PARTS)).cast("int")
+    others = said.withColumn("part", part).join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["h", "part"]).where("conv_id <> own_conv")
+    second = others.groupBy("h", "part").agg(F.min(F.struct("conv_id", "turn")).alias("s")).groupBy("h").agg(F.min("s").alias("second"))
+    met = met.join(second, "h", "left")
+    far = F.when(own, F.col("second")).otherwise(F.col("first"))
     found = met.withColumn("o", F.coalesce(near, far)).where("o is not null")
     best = F.min(F.struct((F.col("o.conv_id") != F.col("conv_id")).alias("other"), F.col("o.conv_id").alias("conv_id"), F.col("o.turn").alias("turn")))
     return found.groupBy("row", "level", "at").agg(best.alias("b")).select("row", "level", "at", F.col("b.conv_id").alias("orig_conv"), F.col("b.turn").alias("orig_turn"))
