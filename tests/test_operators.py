@@ -196,6 +196,31 @@ def test_ml(spark):
     assert chosen.k == 3
 
 
+def test_ml_covers_every_row(spark, monkeypatch):
+    from wakeline.plans import catalogue
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2500, 6)) * 0.6 + rng.integers(0, 3, (2500, 1)) * 4
+    monkeypatch.setattr(ml, "BLOCK", 400_000)
+    monkeypatch.setattr(catalogue, "_features", lambda spark, d: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "vec_id long, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double"))
+    run = lambda name: catalogue.QUERIES[name](spark, "").toPandas()
+    holes = x[:, :3].copy()
+    holes[::7, 0] = np.nan
+    got = run("knn_impute").sort_values("vec_id")
+    assert np.allclose(got[["f0", "f1", "f2"]].to_numpy(), ml.knn_impute(holes)) and not got.isna().any(axis=None)
+    d = ml._distances(x, x)
+    got = run("dbscan_labels").sort_values("vec_id")
+    far = np.sort(np.sort(d, 1)[:, 7])[::-1]
+    assert np.isclose(got.eps[0], far[ml.knee(far)]) and got.cluster.tolist() == ml.dbscan(x, float(got.eps[0]), 7).tolist() and -1 in set(got.cluster)
+    got = run("k_selection").set_index("k")
+    labels, _, inertia = ml.lloyd(x, 3, 5)
+    assert got.chosen[3] and np.isclose(got.wcss[3], inertia) and np.isclose(got.silhouette[3], ml.silhouette(d, labels))
+    assert np.isclose(run("hopkins").hopkins[0], ml.hopkins_statistic(x))
+    powers = ml.yeo_johnson_lambdas(catalogue._features(spark, ""), ["f0", "f1"])
+    assert np.allclose(powers, [ml.yeo_johnson_lambda(x[:, i]) for i in range(2)], atol=1e-5)
+    assert np.allclose(run("yeo_johnson").sort_values("vec_id").f0, ml.yeo_johnson_values(x[:, 0], powers[0]))
+
+
 def test_readers_and_sinks(spark, tmp_path):
     line = ["01/02/2024 03:04:05", "Class A", "123", "57,8794", "10.5", "Moored", "", "1.2", "", "", "Unknown", "", " NAME ", "", "", "", "", "", "", "", "2024-02-03 04:05:06", "", "1", "", "", ""]
     quoted = [f'"{x}"' for x in line]

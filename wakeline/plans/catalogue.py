@@ -565,17 +565,17 @@ def pca_coords(spark, d):
 
 @query
 def k_selection(spark, d):
-    return ml.select_k(ml.sample(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
+    return ml.select_k(ml.whole(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
 
 
 @query
 def dbscan_labels(spark, d):
-    return ml.dbscan_frame(ml.sample(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
+    return ml.dbscan_frame(ml.whole(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
 
 
 @query
 def hopkins(spark, d):
-    return ml.hopkins_frame(ml.sample(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
+    return ml.hopkins_frame(ml.whole(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)]), spark)
 
 
 @query
@@ -586,7 +586,7 @@ def yeo_johnson(spark, d):
 @query
 def knn_impute(spark, d):
     holes = _features(spark, d).select("vec_id", F.when(F.col("vec_id") % 7 != 0, F.col("f0")).alias("f0"), "f1", "f2")
-    return ml.knn_impute_frame(ml.sample(holes, "vec_id", ["f0", "f1", "f2"]), spark)
+    return ml.knn_impute_frame(ml.whole(holes, "vec_id", ["f0", "f1", "f2"]), spark)
 
 
 # Streaming, run to the end of a bounded input
