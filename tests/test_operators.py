@@ -177,6 +177,30 @@ def test_nearest_and_hull(spark):
     assert [r[0] for r in inside] == [True, False]
 
 
+def test_every_position_meets_the_ports(spark):
+    from wakeline.plans import catalogue
+    from wakeline.sources import adapters
+
+    d = "/root/testdata/sf0.001"
+    p, ports = adapters.positions(spark, d).select("lon", "lat").toPandas(), adapters.ports(spark, d).select("port_id", "lon", "lat").toPandas()
+    lon, lat, x, y = (np.radians(v.to_numpy()) for v in (p.lon, p.lat, ports.lon, ports.lat))
+    h = np.sin((lat[:, None] - y) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(y) * np.sin((lon[:, None] - x) / 2) ** 2
+    far = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(h))
+    out = catalogue.QUERIES["nearest_port_every_position"](spark, d).toPandas()
+    assert out.n.sum() == len(p)
+    best, ids = far.min(1), ports.port_id.to_numpy()[far.argmin(1)]
+    want = {i: ((ids == i).sum(), best[ids == i].max()) for i in np.unique(ids)}
+    assert {r.port_id: r.n for r in out.itertuples()} == {i: n for i, (n, _) in want.items()}
+    assert all(abs(r.farthest_m - want[r.port_id][1]) < 0.01 for r in out.itertuples())
+    out = catalogue.QUERIES["point_in_fence_every_position"](spark, d).toPandas()
+    near = far <= 5000
+    u, v = p.lon.to_numpy()[:, None] - ports.lon.to_numpy(), p.lat.to_numpy()[:, None] - ports.lat.to_numpy()
+    corners = [(-0.00121, -0.00071), (0.00121, -0.00071), (0.0, 0.00123)]
+    left = [(b[0] - a[0]) * (v - a[1]) - (b[1] - a[1]) * (u - a[0]) > 0 for a, b in zip(corners, corners[1:] + corners[:1])]
+    inside = near & left[0] & left[1] & left[2]
+    assert {r.port_id: (r.near, r.inside) for r in out.itertuples()} == {i: (int(near[:, k].sum()), int(inside[:, k].sum())) for k, i in enumerate(ports.port_id) if near[:, k].any()}
+
+
 def test_ml(spark):
     df = spark.createDataFrame([(1, 0.0, 50.0, 50.0)], "id int, a double, b double, c double")
     row = ml.centred_log_ratio(df, ["a", "b", "c"]).first()

@@ -133,15 +133,21 @@ def stop_port_radius(spark, d):
     return spatial.within_radius(s, places(a.ports(spark, d)), 1000.0).select("mmsi", "start_time", F.col("place_id").alias("port_id"), F.round("distance_m", 3).alias("distance_m"))
 
 
+def _nearest_port(spark, d, p):
+    return spatial.nearest_place(p, places(a.ports(spark, d))).groupBy(F.col("place_id").alias("port_id")).agg(F.count("*").alias("n"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+
+
 @query
 def nearest_port_unbounded(spark, d):
-    p = a.positions(spark, d).where(F.minute("ts") == 0)
-    return spatial.nearest_place(p, places(a.ports(spark, d))).groupBy(F.col("place_id").alias("port_id")).agg(F.count("*").alias("n"), F.round(F.max("distance_m"), 3).alias("farthest_m"))
+    return _nearest_port(spark, d, a.positions(spark, d).where(F.minute("ts") == 0))
 
 
 @query
-def point_in_fence(spark, d):
-    p = a.positions(spark, d).where(F.minute("ts") == 0)
+def nearest_port_every_position(spark, d):
+    return _nearest_port(spark, d, a.positions(spark, d))
+
+
+def _in_fence(spark, d, p):
     port = a.ports(spark, d)
     x, y = F.col("lon"), F.col("lat")
     corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
@@ -150,6 +156,16 @@ def point_in_fence(spark, d):
     return near.groupBy(F.col("place_id").alias("port_id")).agg(F.count("*").alias("near"), F.count_if(geo.point_in_ring(x, y, F.col("ring"))).alias("inside"))
 
 
+@query
+def point_in_fence(spark, d):
+    return _in_fence(spark, d, a.positions(spark, d).where(F.minute("ts") == 0))
+
+
+@query
+def point_in_fence_every_position(spark, d):
+    return _in_fence(spark, d, a.positions(spark, d))
+
+
 # Tracks
 
 
