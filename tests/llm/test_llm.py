@@ -384,6 +384,15 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)}
 
 
+def test_keep_one_keeps_the_texts_of_a_shared_id(spark):
+    rng = random.Random(9)
+    a, b, c, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, e), (4, e), (None, a)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, a), (2, b), (3, c), (3, e), (None, a)]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want)) and kept.columns == ["doc_id", "text"]
+
+
 # 9
 
 

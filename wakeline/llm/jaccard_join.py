@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import SEPARATORS, discard, give_back, materialise, small_batches
 from .components import connected
@@ -419,10 +420,27 @@ def component_ids(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _vertices(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_v``: the doc_id, or, where an id has several texts, numbers of (doc_id, text) in the order of ids."""
+    marked = docs.where("doc_id is not null").withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")})
+    text = F.struct("_h1", "_h2")
+    if marked.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").isEmpty():
+        return marked.withColumn("_v", F.col("doc_id").cast("long")).drop("_h1", "_h2")
+    keys = ["doc_id", "_h1", "_h2"]
+    each = marked.select(*keys).distinct().orderBy(*keys)
+    numbers = each.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    numbers = docs.sparkSession.createDataFrame(numbers, StructType([*each.schema.fields, StructField("_v", LongType())]))
+    return marked.join(materialise(numbers, "vertices"), keys).drop("_h1", "_h2")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, and one row of it. Null ids are kept."""
-    roots = link_components(docs)[1]
-    kept = docs.where("doc_id is not null").join(roots.select(F.col("v").alias("_v")), F.col("doc_id") == F.col("_v"), "left_anti")
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    single = kept.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
+    """``docs`` with one document of each component: that of the smallest id, and one row of it. Null ids are kept.
+
+    Texts that share an id are documents of their own.
+    """
+    rows = _vertices(docs)
+    roots = link_components(rows.select(F.col("_v").alias("doc_id"), "text"))[1]
+    kept = rows.join(roots.select(F.col("v").alias("_w")), F.col("_v") == F.col("_w"), "left_anti")
+    same = Window.partitionBy("_v").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    single = kept.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").select(*[f"`{c}`" for c in docs.columns])
     return single.unionByName(docs.where("doc_id is null"))
