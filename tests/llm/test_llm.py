@@ -425,7 +425,9 @@ def test_bpe_of_pieces_beyond_one_query():
     rng = random.Random(7)
     letters = ["".join(rng.choices("abcdefghijklmnop", k=n)) for n in (20_000, 3_000)]
     signs = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randrange(2, 60))) for _ in range(15_000))]
-    for texts in (letters, signs):
+    unbroken = ["a" * 100_000, "".join(rng.choices(["the", "and", "ing", "tion", "re", "ou"], k=30_000)), "=" * 999 + "-" * 70]
+    few = ["".join(rng.choices("aeinrst", k=rng.randrange(1, 300))) for _ in range(300)]
+    for texts in (letters, signs, unbroken, few):
         for t, sections in zip(texts, bpe.Codec(ranks, public_tokenizers.PATTERN).encode(texts), strict=True):
             ids, decoded = map(b"".join, zip(*sections, strict=True))
             assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(t) and decoded == t.encode()
