@@ -42,6 +42,7 @@ BLOCK = 64
 #: Slots a shard holds at least; shards number MOST_SHARDS at most.
 SHARD = 4096
 MOST_SHARDS = 100_000
+SLOTS_A_TASK = 1_000_000
 ROUNDS = 16
 CELLS = 4096
 
@@ -123,7 +124,9 @@ def slots(spark, sources: DataFrame, n_slots: int) -> DataFrame:
     by_shard = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     numbered = counts.unionByName(settle).withColumn("from", F.sum("n").over(by_shard) - F.col("n"))
     numbered = numbered.join(sources.select("k", "quota", "blocks"), "k").withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota")))
-    each = numbered.where("to > from").select("shard", "k", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("j"))
+    # Few rows, from windows over few rows: dealt out before each becomes its slots.
+    spread = max(spark.sparkContext.defaultParallelism, math.ceil(n_slots / SLOTS_A_TASK))
+    each = numbered.where("to > from").repartition(spread, "k", "shard").select("shard", "k", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("j"))
     turn = F.floor(F.col("j") / F.col("blocks"))
     return each.select("shard", "k", permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("k"), turn).alias("block"))
 
