@@ -1,14 +1,21 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Vectors become integers, floor(1024 x). Pivots (a bounded sample by hash) divide
-them into cells; a cell's summary is its size, its radius around the pivot and
-its largest norm. For a query q every vector x of a cell obeys
-``q.p - |q| radius <= q.x <= min(q.p + |q| radius, |q| norm)``, so the summaries
-give each query a score that k others certainly reach, and the cells that can
-still hold one of its k best. The query is replicated to those cells only; cells
-are split into blocks of bounded size, so a cell of very many or equal vectors is
-many blocks; queries are blocked likewise. Each pair of blocks is solved by one
-matrix product and sends on k rows a query; a window picks the final k.
+Vectors become integers, floor(1024 x). Pivots (a bounded sample of rows, by hash)
+divide data and queries into cells; a cell's summary is its size, its radius around
+the pivot and its largest norm. Queries are grouped by cells, neighbouring cells
+together up to ``GROUP`` queries, and a cell of more in turns.
+
+A query's exact scores with the pivots give a score that its k best certainly
+reach. As every x of a cell with pivot p obeys ``q.x <= q.p + |q| |x - p|`` and
+``q.x <= |q| |x|``, that score bounds from below how far from p, and how long, an x
+must be to matter to q; the least of these over a group's queries are the group's
+bounds for the cell. Vectors are copied only to the groups whose bounds they pass.
+A group's vectors are dealt by hash into slabs of bounded size, so a cell of very
+many or equal vectors is no task's alone; each slab meets the group's queries in
+one matrix product and sends on at most k rows a query, none below the score its
+pivots gave it; a window picks the final k. Where vectors have no clusters (say,
+random directions) the bounds keep everything, and each group reads every vector
+once.
 
 Scores are exact: products run in float64 while no sum can pass 2**53, in Python
 integers otherwise; a score beyond 64 bits is given as the nearest long.
@@ -29,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 SCALE = 1024
 MOST_PIVOTS = 256
-LEAST_BLOCK, MOST_BLOCK = 256, 4096
+#: Queries of a group, bytes of a slab; slabs a group at least, where a slab has LEAST_SLAB vectors.
+GROUP, SLAB_BYTES, SLABS, LEAST_SLAB = 4096, 1 << 25, 8, 256
+#: Scores a task holds at a time.
+MOST_SCORES = 1 << 22
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
@@ -93,56 +103,89 @@ def _in_cells(vectors: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
     return vectors.mapInArrow(assign, "row long, vec_id long, v binary, cell long, distance double, norm double")
 
 
+def _grouped(pivots: np.ndarray, cells: np.ndarray, n_queries: np.ndarray) -> tuple[dict[int, int], dict[int, int]]:
+    """Group of each cell with queries, and turns of each group. Cells stand along the pivots' first axis."""
+    centred = pivots - pivots.mean(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        axis = np.linalg.svd(np.nan_to_num(centred / max(float(np.abs(centred).max(initial=0)), 1.0)), full_matrices=False)[2][0]
+    group_of, turns, held = {}, {}, 0
+    for i in np.argsort(pivots[cells] @ axis, kind="stable").tolist():
+        if not n_queries[i]:
+            continue
+        if not turns or held + n_queries[i] > GROUP:
+            turns[len(turns)], held = 1, 0
+        held += int(n_queries[i])
+        group_of[int(cells[i])] = len(turns) - 1
+        turns[len(turns) - 1] = -(-held // GROUP)
+    return group_of, turns
+
+
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``is_query`` (of ``vec_id``) holds, against all rows."""
+    spark = embeddings.sparkSession
+    small_batches(spark)
     vectors = materialise(integers(embeddings), "vectors")
     n, n_queries, size = vectors.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max(F.length("v") / 8), F.lit(0)).cast("int")).first()
     size = max(1, size)
     # TopK: MOST_PIVOTS rows reach the driver.
-    drawn = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(min(MOST_PIVOTS, math.isqrt(n) + 1)).select("v").toArrow()
-    pivots = np.unique(_matrix(drawn.column("v").combine_chunks(), size), axis=0) if n else np.zeros((1, size))
+    drawn = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(min(MOST_PIVOTS, math.isqrt(n) + 1)).select("row", "v").toArrow()
+    sample = _matrix(drawn.column("v").combine_chunks(), size) if n else np.zeros((0, size))
+    sample_rows, pivots = drawn.column("row").to_numpy(), np.unique(sample, axis=0) if n else np.zeros((1, size))
     placed = materialise(_in_cells(vectors, pivots, size), "cells")
-    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 200))
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm")).toArrow().to_pydict()
+    summary = placed.groupBy("cell").agg(F.max("distance").alias("radius"), F.max("norm").alias("norm"), F.count_if(is_query).alias("asked")).toArrow().to_pydict()
     cells = np.array(summary["cell"], np.int64)
-    counts, radius, norms = np.array(summary["n"], np.int64), np.array(summary["radius"], float), np.array(summary["norm"], float)
-    blocks = -(-counts // block)
-    query_blocks = max(1, math.ceil(n_queries / MOST_BLOCK))
-    shipped = embeddings.sparkSession.sparkContext.broadcast((pivots[cells] if n else pivots, cells, counts, radius, norms, blocks))
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, cells, counts, radius, norms, blocks = shipped.value
+    radius, norms = np.array(summary["radius"], float), np.array(summary["norm"], float)
+    group_of, turns = _grouped(pivots, cells, np.array(summary["asked"], np.int64))
+    slabs = max(1, math.ceil(n * size * 8 / SLAB_BYTES), min(SLABS, n // LEAST_SLAB))
+    shipped = spark.sparkContext.broadcast((pivots, sample, sample_rows, cells, radius, norms, group_of, turns))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries with their group, turn and certain score; and rows (group, cell, far, long) of a batch's bounds."""
+        pivots, sample, sample_rows, cells, radius, norms, group_of, turns = shipped.value
         for batch in batches:
-            q = _matrix(batch.column(2), size)
-            for i in range(len(q)):
-                with np.errstate(over="ignore", invalid="ignore"):
-                    length = np.sqrt(q[i] @ q[i])
-                    middle, slack = p @ q[i], 1 + 1e-9 * length * (norms + radius)
-                    low, high = middle - length * radius - slack, np.minimum(middle + length * radius, length * norms) + slack
-                order = np.argsort(-low, kind="stable")
-                reached = np.flatnonzero(counts[order].cumsum() >= k + 1)
-                enough = low[order[reached[0]]] if len(reached) else -np.inf
-                needed = np.flatnonzero(~(high < enough))
-                part = np.concatenate([np.arange(b) for b in blocks[needed]]) if len(needed) else np.zeros(0, np.int64)
-                m = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(cells[needed], blocks[needed])), pa.array(part), pa.array(np.full(m, batch.column(0)[i].as_py() % query_blocks)), pa.array(np.full(m, batch.column(0)[i].as_py())), pa.array(np.full(m, batch.column(1)[i].as_py())), pa.array([batch.column(2)[i].as_py()] * m, pa.binary())],
-                    names=["cell", "part", "turn", "row", "query_id", "v"],
-                )
-
-    queries = placed.where(is_query).select("row", "vec_id", "v").mapInArrow(replicate, "cell long, part long, turn long, row long, query_id long, v binary")
-    parts = F.element_at(F.create_map(*[x for c, b in zip(cells.tolist(), blocks.tolist(), strict=True) for x in (F.lit(c), F.lit(b))]), F.col("cell")) if n else F.lit(1)
-    data = placed.select("cell", F.pmod(F.xxhash64("row"), parts.cast("long")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("turn"), "row", "vec_id", "v")
+            q, rows = _matrix(batch.column(2), size), batch.column(0).to_numpy()
+            group = np.array([group_of[c] for c in batch.column(3).to_pylist()], np.int64)
+            turn = rows % np.array([turns[g] for g in group.tolist()], np.int64)
+            scores = _products(q, sample).astype(float)
+            scores[rows[:, None] == sample_rows] = -np.inf
+            least = -np.sort(-scores, axis=1)[:, k - 1] if len(sample) >= k else np.full(len(q), -np.inf)
+            sure = np.where(np.isfinite(least), least - np.abs(least) * 1e-9 - 1, _LONG[0] * 2.0)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (group, turn)], batch.column(0), batch.column(1), batch.column(2), pa.array(sure), pa.nulls(len(q), pa.int64()), *[pa.nulls(len(q), pa.float64())] * 2], schema=bounds)
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                length, middle = np.sqrt((q * q).sum(1))[:, None], q @ pivots[cells].T
+                slack = 1 + 1e-9 * length * (norms + radius)
+                far = np.where(length > 0, (least[:, None] - middle - slack) / length, -np.inf)
+                long = np.where(length > 0, (least[:, None] - slack) / length, -np.inf)
+                far, long = (np.where(np.isnan(x), -np.inf, x) for x in (far, long))
+                needed = ~((far > radius) | (long > norms))
+            for g in np.unique(group).tolist():
+                own = needed & (group == g)[:, None]
+                at = np.flatnonzero(own.any(0))
+                least_far, least_long = (np.where(own, x, np.inf).min(0)[at] for x in (far, long))
+                m = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, g)), *[pa.nulls(m, t) for t in bounds.types[1:6]], pa.array(cells[at]), pa.array(least_far), pa.array(least_long)], schema=bounds)
+
+    bounds = pa.schema([("grp", pa.int64()), ("turn", pa.int64()), ("row", pa.int64()), ("query_id", pa.int64()), ("v", pa.binary()), ("sure", pa.float64()), ("cell", pa.int64()), ("far", pa.float64()), ("long", pa.float64())])
+    asked = placed.where(is_query).select("row", "vec_id", "v", "cell").mapInArrow(bound, "grp long, turn long, row long, query_id long, v binary, sure double, cell long, far double, long double")
+    asked = materialise(asked, "asked")
+    # At most cells x groups of cells, both within MOST_PIVOTS.
+    needs = F.broadcast(asked.where("cell is not null").groupBy("grp", "cell").agg(F.min("far").alias("far"), F.min("long").alias("long")))
+    n_turns = F.broadcast(spark.createDataFrame(list(turns.items()), "grp long, turns long"))
+    part = F.pmod(F.xxhash64("row"), F.lit(slabs))
+    data = placed.join(needs, "cell").where("not (distance < far) and not (norm < long)").join(n_turns, "grp")
+    data = data.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), part.alias("part"), "row", "vec_id", "v")
+    queries = asked.where("row is not null").select(F.col("grp").alias("q_grp"), F.col("turn").alias("q_turn"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))).alias("q_part"), "row", "query_id", "v", "sure")
 
     def solve(x: pa.Table, q: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if len(x) and len(q):
             ids, rows, m = x.column("vec_id").to_numpy(), x.column("row").to_numpy(), _matrix(x.column("v").combine_chunks(), size)
-            for a in range(0, len(q), 512):
-                part = q.slice(a, 512)
-                scores = _products(_matrix(part.column("v").combine_chunks(), size), m)
-                for i, (row, query) in enumerate(zip(part.column("row").to_pylist(), part.column("query_id").to_pylist(), strict=True)):
-                    s, other = scores[i], np.flatnonzero(rows != row)
+            step = max(1, MOST_SCORES // len(x))
+            for a in range(0, len(q), step):
+                some = q.slice(a, step)
+                scores = _products(_matrix(some.column("v").combine_chunks(), size), m)
+                for s, row, query, sure in zip(scores, some.column("row").to_pylist(), some.column("query_id").to_pylist(), some.column("sure").to_pylist(), strict=True):
+                    other = np.flatnonzero((rows != row) & (s >= sure))
                     if len(other) > k:
                         cut = np.partition(s[other], len(other) - k)[len(other) - k]
                         other = other[s[other] >= cut]
@@ -152,8 +195,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
         return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), arrays, strict=True)))
 
-    key = ["cell", "part", "turn"]
-    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(solve, "row long, query_id long, vec_id long, score long")
+    found = data.groupBy("grp", "turn", "part").cogroup(queries.groupBy("q_grp", "q_turn", "q_part")).applyInArrow(solve, "row long, query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
