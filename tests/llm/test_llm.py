@@ -184,6 +184,61 @@ def test_quotes_of_what_the_own_conversation_says_first(spark):
     assert got == {(1, 3): [(2, 0)], (2, 0): [], (2, 4): [(2, 0)], (3, 0): [(1, 3)], (3, 1): [], (4, 0): []}
 
 
+def replies_brute(rows):
+    """{(conv_id, turn): (depth, reply_turn, links, n_linked, own text)} by plain loops."""
+    normal = lambda t: re.sub(r"\s+", " ", t).strip(" ").lower()
+    level = lambda x: re.match(r"(?:\s*>)*", x).group().count(">")
+    long = lambda x: len(x.split(" ")) >= 3
+    own = {(c, t): re.sub(r"^\n+|\n+$", "", "\n".join(x for x in text.split("\n") if not level(x))) for c, t, _, text in rows}
+    said = []
+    for (c, t), text in own.items():
+        units = {normal(text), *map(normal, re.split(r"\n\s*\n", text)), *[u for u in map(normal, text.split("\n")) if long(u)]} - {""}
+        said += [(u, c, t) for u in units]
+    out, up = {}, {}
+    for c, t, _, text in rows:
+        runs = []
+        for at, x in enumerate(text.split("\n")):
+            if level(x):
+                line = re.sub(r"^(?:\s*>)+\s?", "", x)
+                if runs and runs[-1][0] == level(x) and runs[-1][1] + len(runs[-1][2]) == at:
+                    runs[-1][2].append(line)
+                else:
+                    runs.append((level(x), at, [line]))
+        links, first = [], []
+        for lv, at, lines in runs:
+            units = {normal(" ".join(lines)), *[u for u in map(normal, lines) if long(u)]} - {""}
+            found = []
+            for u in units:
+                near = min((b for w, a, b in said if w == u and a == c), default=t)
+                if near < t:
+                    found.append((False, c, near))
+                else:
+                    found += [(True, *m) for m in [min(((a, b) for w, a, b in said if w == u and a != c), default=None)] if m]
+            if found:
+                links.append(min(found)[1:])
+                if not min(found)[0]:
+                    first.append((lv, at, min(found)[2]))
+        earlier = [b for a, b, _, _ in rows if a == c and b < t]
+        up[c, t] = min(first)[2] if first else max(earlier, default=None)
+        out[c, t] = (links, own[c, t])
+    depth = lambda c, t: 0 if up[c, t] is None else 1 + depth(c, up[c, t])
+    return {k: (depth(*k), up[k], sorted(set(v[0])), len(v[0]), v[1]) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quotes_match_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 4)
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choices(["red", "Blue", "sky", "sea", "one", "two"], k=rng.randrange(1, 6))) for _ in range(25)]
+    rows = []
+    for c in range(12):
+        for t in sorted(rng.sample(range(30), rng.randrange(1, 9))):
+            lines = [rng.choice(["", "", "> ", ">> ", "> > "]) + rng.choice(pool) for _ in range(rng.randrange(0, 5))]
+            rows.append((c, t, "u", "\n".join(x for k, x in enumerate(lines) if not k or x.startswith(">") == lines[k - 1].startswith(">") or rng.random() < 0.8)))
+    out = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.depth, r.reply_turn, sorted(map(tuple, r.linked)), r.n_linked, r.text) for r in out} == replies_brute(rows)
+
+
 def test_quotes_edges(spark):
     schema = "conv_id long, turn long, role string, text string, row int, depth int"
     assert quotes.reply_ordered(spark.createDataFrame([], schema)).count() == 0
@@ -276,6 +331,22 @@ def test_knn_matches_brute_force(spark):
     assert got == want
 
 
+def test_knn_of_clusters_in_groups_and_slabs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 5)) * 9
+    vectors = {i * 10: (centres[i % 6] + rng.normal(size=5) * 0.2).tolist() for i in range(700)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    for name, value in (("GROUP", 5), ("SLAB_BYTES", 4000), ("MOST_SCORES", 200)):
+        monkeypatch.setattr(knn_join, name, value)
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors.items()}
+    want = []
+    for q in sorted(i for i in whole if i % 100 == 0):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:4]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    got = sorted(tuple(r) for r in knn_join.top_k(df, F.col("vec_id") % 100 == 0, 4).collect())
+    assert got == want
+
+
 def test_knn_edges(spark):
     ddl = "vec_id long, embedding array<float>"
     assert knn_join.top_k(spark.createDataFrame([], ddl), F.col("vec_id") % 100 == 0).count() == 0

@@ -29,6 +29,7 @@ from .common import bind, discard, materialise
 
 LEAST_WORDS = 3
 PARTS = 32
+SPAN = 1024
 
 
 def _level(line: Column) -> Column:
@@ -87,7 +88,7 @@ def originals(parsed: DataFrame) -> DataFrame:
 
 def link(parsed: DataFrame) -> DataFrame:
     """(row, level, at, orig_conv, orig_turn): the original of each quoted passage that has one."""
-    quoted, said = passages(parsed), originals(parsed)
+    quoted, said = passages(parsed), materialise(originals(parsed), "said")
     inside = said.groupBy("conv_id", "h").agg(F.min("turn").alias("in_turn"))
     anywhere = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     met = quoted.join(inside, ["conv_id", "h"], "left").join(anywhere, "h", "left")
@@ -105,6 +106,15 @@ def link(parsed: DataFrame) -> DataFrame:
     return found.groupBy("row", "level", "at").agg(best.alias("b")).select("row", "level", "at", F.col("b.conv_id").alias("orig_conv"), F.col("b.turn").alias("orig_turn"))
 
 
+def _with_prior(placed: DataFrame) -> DataFrame:
+    """``placed`` with the next smaller turn of its conversation: within spans of ``SPAN`` turns, then from the span before."""
+    spanned = placed.withColumn("span", F.floor(F.col("turn") / SPAN))
+    last = spanned.groupBy("conv_id", "span").agg(F.max("turn").alias("last"))
+    last = last.select("conv_id", "span", F.lag("last").over(Window.partitionBy("conv_id").orderBy("span")).alias("last"))
+    inside = F.lag("turn").over(Window.partitionBy("conv_id", "span").orderBy("turn"))
+    return spanned.withColumn("inside", inside).join(last, ["conv_id", "span"]).withColumn("prior", F.coalesce("inside", "last")).drop("span", "inside", "last")
+
+
 def _depths(nodes: DataFrame) -> DataFrame:
     """(conv_id, turn, depth) from (conv_id, turn, up), ``up`` being an earlier turn or null; by pointer doubling."""
     now = materialise(nodes.select("conv_id", "turn", F.col("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "depths")
@@ -125,8 +135,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     own = links.join(parsed.select("row", "conv_id"), "row").where("orig_conv = conv_id").groupBy("row").agg(F.min(F.struct("level", "at", "orig_turn")).alias("first"))
     rows = parsed.join(own.select("row", F.col("first.orig_turn").alias("quoted_turn")), "row", "left").join(per_row, "row", "left")
     placed = rows.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("quoted_turn").alias("quoted_turn"))
-    before = placed.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("prior"))
-    nodes = placed.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted_turn", "prior").alias("up"))
+    nodes = _with_prior(placed).select("conv_id", "turn", F.coalesce("quoted_turn", "prior").alias("up"))
     nodes = materialise(nodes, "replies")
     tree = nodes.join(_depths(nodes), ["conv_id", "turn"])
     runs = F.size(F.filter(F.transform("quoted", lambda s, i: (i == 0) | (F.get(F.col("quoted"), i - 1)["at"] + 1 != s["at"]) | (F.get(F.col("quoted"), i - 1)["level"] != s["level"])), lambda x: x))
