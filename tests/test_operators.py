@@ -186,13 +186,13 @@ def test_every_position_meets_the_ports(spark):
     lon, lat, x, y = (np.radians(v.to_numpy()) for v in (p.lon, p.lat, ports.lon, ports.lat))
     h = np.sin((lat[:, None] - y) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(y) * np.sin((lon[:, None] - x) / 2) ** 2
     far = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(h))
-    out = catalogue.QUERIES["nearest_port_every_position"](spark, d).toPandas()
+    out = catalogue.QUERIES["nearest_port_unbounded"](spark, d).toPandas()
     assert out.n.sum() == len(p)
     best, ids = far.min(1), ports.port_id.to_numpy()[far.argmin(1)]
     want = {i: ((ids == i).sum(), best[ids == i].max()) for i in np.unique(ids)}
     assert {r.port_id: r.n for r in out.itertuples()} == {i: n for i, (n, _) in want.items()}
     assert all(abs(r.farthest_m - want[r.port_id][1]) < 0.01 for r in out.itertuples())
-    out = catalogue.QUERIES["point_in_fence_every_position"](spark, d).toPandas()
+    out = catalogue.QUERIES["point_in_fence"](spark, d).toPandas()
     near = far <= 5000
     u, v = p.lon.to_numpy()[:, None] - ports.lon.to_numpy(), p.lat.to_numpy()[:, None] - ports.lat.to_numpy()
     corners = [(-0.00121, -0.00071), (0.00121, -0.00071), (0.0, 0.00123)]
@@ -274,3 +274,104 @@ def test_stream_insert_is_idempotent(spark, tmp_path):
     for i in range(2):
         streams.insert_once(spark.readStream.schema("id int, v string").parquet(src), out, ["id"], str(tmp_path / f"c{i}")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_joins_around_the_globe(spark):
+    rng = np.random.default_rng(1)
+    latitudes = lambda n: np.degrees(np.arcsin(rng.uniform(-1, 1, n)))
+    p = [*zip(rng.uniform(-180, 180, 80), latitudes(80), strict=True), (179.999, 0.0), (180.0, 10.0), (-180.0, 10.0), (5.0, 89.99), (-120.0, 89.5), (0.0, -90.0), (0.0, 90.0)]
+    q = [*zip(rng.uniform(-180, 180, 60), latitudes(60), strict=True), (-179.999, 0.0), (179.9, 0.0), (-179.99, 10.0), (-175.0, 89.9), (60.0, 89.4), (100.0, -89.99), (179.95, 60.0)]
+    p, q = [(i, float(x), float(y)) for i, (x, y) in enumerate(p)], [(i, float(x), float(y)) for i, (x, y) in enumerate(q)]
+    a, b = np.radians(np.array(p)[:, 1:]), np.radians(np.array(q)[:, 1:])
+    h = np.sin((a[:, None, 1] - b[:, 1]) / 2) ** 2 + np.cos(a[:, None, 1]) * np.cos(b[:, 1]) * np.sin((a[:, None, 0] - b[:, 0]) / 2) ** 2
+    d = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(h)))
+    points_, places = spark.createDataFrame(p, "k int, lon double, lat double"), spark.createDataFrame(q, "place_id int, place_lon double, place_lat double")
+    for radius in (1000.0, 400_000.0, 25_000_000.0):
+        got = {(r.k, r.place_id) for r in spatial.within_radius(points_, places, radius).collect()}
+        assert got == {(i, j) for i in range(len(p)) for j in range(len(q)) if d[i, j] <= radius}
+    assert {r.k: r.place_id for r in spatial.nearest_place(points_, places).collect()} == dict(enumerate(d.argmin(1).tolist()))
+
+
+def test_states_by_status_and_without_speed(spark):
+    rows = [(0.5, "1", False), (0.5, "5", False), (None, "Moored", False), (None, None, True), (None, None, False), (0.5, "Anchored", False), (0.5, None, None)]
+    df = spark.createDataFrame(rows, "sog double, nav string, p boolean")
+    stop, slow = "STOPPED_IN_PORT", "TRANSITING"
+    assert [r[0] for r in df.select(visits.state(F.col("sog"), F.col("nav"), F.col("p"))).collect()] == [stop, stop, stop, stop, slow, slow, slow]
+
+
+def test_a_fence_says_what_is_in_port(spark):
+    places = spark.createDataFrame([(1, 10.0, 55.0), (2, 20.0, 55.0)], "place_id int, place_lon double, place_lat double")
+    ring = [(9.99, 54.99), (10.01, 54.99), (10.01, 55.01), (9.99, 55.01)]
+    fences = spark.createDataFrame([(1, [{"lon": x, "lat": y} for x, y in ring])], "place_id int, ring array<struct<lon:double,lat:double>>")
+    pts = spark.createDataFrame([(0, 10.0, 55.0), (1, 10.03, 55.0), (2, 20.03, 55.0), (3, 20.2, 55.0)], "k int, lon double, lat double")
+    assert {r.k: r.in_port for r in visits.located(pts, places, fences).collect()} == {0: True, 1: False, 2: True, 3: False}
+    assert {r.k: r.in_port for r in visits.located(pts, places).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_clean_names_equal_one_replacement_after_the_other(spark):
+    import random
+    import re
+
+    def plain(s):
+        out = (s or "").upper()
+        for x, y in text.NORDIC_LETTERS.items():
+            out = out.replace(x, y)
+        for x, y in text.COUNTRY_NAMES.items():
+            out = re.sub(rf"\b{x}\b", y, out)
+        for w in text.PORT_WORDS:
+            out = re.sub(rf"\b{w}\b", "", out)
+        return " ".join(re.sub(r"[^A-Z0-9\s]", " ", out).split())
+
+    rng = random.Random(2)
+    tokens = ["DK", "se", "Ro", "Pa", "RO RO", "havn", "Ålborg", "ø", "ß", "port", "Marina", "x9", "-", "/", "(", "GB.", "UK_A", "de-luxe", "É", "HAMN"]
+    names = [" ".join(rng.choices(tokens, k=rng.randrange(0, 6))) for _ in range(300)] + ["".join(rng.choices(tokens, k=3)) for _ in range(200)] + [None, ""]
+    got = spark.createDataFrame([(s,) for s in names], "s string").withColumn("c", text.clean_name(F.col("s"))).collect()
+    assert [r.c for r in got] == [plain(r.s) for r in got]
+
+
+def test_matches_by_other_names_and_never_by_nothing(spark):
+    from wakeline.operators import aggregates
+
+    rows = [("GDANSK OLD TOWN", "Gdansk", "PLGDN", None), ("???", "X", "DKXXX", None), ("Havn", "Port", "DKXXX", None), ("GOTEBORG", "Gothenburg", "SEGOT", "Göteborg"), ("RIGA", "Odense", None, "Fyn"), ("SEGOT", None, "SEGOT", None)]
+    df = spark.createDataFrame(rows, "declared_destination string, port_name string, un_locode string, alt_name string")
+    got = {r.declared_destination: r.match_status for r in aggregates.match_status(df).collect()}
+    assert got == {"GDANSK OLD TOWN": "MATCH", "???": "GARBAGE", "Havn": "MISMATCH", "GOTEBORG": "MATCH", "RIGA": "MISMATCH", "SEGOT": "MATCH"}
+
+
+@given(st.lists(st.sampled_from(["AB", "ABC", "CD", "X", "GDANSK", "GDYNIA", "A"]), max_size=4), st.lists(st.sampled_from(["AB", "ABC", "CD", "X", "GDANSK", "GDYNIA", "A"]), max_size=4))
+def test_no_score_is_ruled_out_that_is_reached(a, b):
+    x, y = " ".join(a), " ".join(b)
+    if text.token_similarity(x, y) >= text.MATCH_THRESHOLD:
+        one, two = " ".join(dict.fromkeys(a)), " ".join(dict.fromkeys(b))
+        most = max(min(len(p), len(q)) * 200 / (len(p) + len(q)) for p, q in ((x, y), (one, two)))
+        assert set(a) & set(b) or most >= text.MATCH_THRESHOLD - 1
+
+
+def test_crosstab_leaves_nulls_out(spark):
+    from wakeline.operators import aggregates
+
+    df = spark.createDataFrame([("x", 1), ("x", 2), (None, 1), ("y", None)], "a string, b int")
+    assert {tuple(r) for r in aggregates.crosstab_with_margins(df, "a", "b").collect()} == {("x", "1", 1), ("x", "2", 1), ("x", "Total", 2), ("Total", "1", 1), ("Total", "2", 1), ("Total", "Total", 2)}
+
+
+def test_guessed_times_vote_by_column(spark):
+    from wakeline.operators import reports
+
+    parse = lambda *t: [str(r.parsed) for r in reports.guessed_timestamp(spark.createDataFrame([(x,) for x in t], "raw string"), "raw").collect()]
+    assert parse("01/13/2024", "02/03/2024") == ["2024-01-13 00:00:00", "2024-02-03 00:00:00"]
+    assert parse("13/01/2024", "02/03/2024") == ["2024-01-13 00:00:00", "2024-03-02 00:00:00"]
+    assert parse("1704067200000", "nan", "20240102") == ["2024-01-01 00:00:00", "None", "2024-01-02 00:00:00"]
+
+
+def test_profiles_of_few_and_unknown(spark):
+    from wakeline.operators import profiles
+
+    with pytest.raises(ValueError):
+        profiles.steps("other")
+    rng = np.random.default_rng(3)
+    rows = [(f"P{i}", *map(float, rng.normal(size=4) + 6 * (i % 2))) for i in range(40)]
+    df = spark.createDataFrame(rows, "un_locode string, mean_length_m double, median_length_m double, mean_draught_m double, median_draught_m double")
+    got = profiles.port_profiles(df).where("profile = 'scale'").collect()
+    assert len(got) == 40 and {r.k for r in got} == {2}
+    assert len({(int(r.un_locode[1:]) % 2, r.cluster) for r in got}) == 2
+    assert profiles.port_profiles(df.limit(1)).count() == 6 and profiles.port_profiles(df.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.stats import entropy_by, quantile, share
-from wakeline.functions.text import FLOW_COUNTRY_NAMES, clean_name, destination_candidates, exact_match, fuzzy_score, is_garbage, MATCH_THRESHOLD
+from wakeline.functions.text import FLOW_COUNTRY_NAMES, clean_name, destination_candidates, exact_match, fuzzy_score, is_garbage, MATCH_THRESHOLD, may_reach
 from wakeline.sources.adapters import SHIP_TYPES
 
 # Edges and names of the stay-duration bins.
@@ -147,21 +147,32 @@ def feature_matrix(v: DataFrame, ports: DataFrame, least_visits: int = 20) -> Da
 
 
 def match_status(v: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """``match_status`` GARBAGE, MATCH or MISMATCH; exact rules first, similarity for the distinct rest."""
+    """``match_status`` GARBAGE, MATCH or MISMATCH; exact rules first, similarity for the rest.
+
+    Decided once for each distinct destination, port name, other name (``alt_name``,
+    where there is one) and locode, and joined back. A name that cleans to nothing
+    matches nothing.
+    """
+    key = ["declared_destination", "port_name", "un_locode", *(["alt_name"] if "alt_name" in v.columns else [])]
     declared = F.trim("declared_destination")
-    rows = v.withColumn("_cands", destination_candidates(declared))
-    exact = exact_match(F.col("_cands"), F.col("un_locode"))
-    same = F.exists("_cands", lambda c: clean_name(c) == clean_name(F.col("port_name")))
-    first = F.when((declared == "") | is_garbage(declared), "GARBAGE").when(exact | same, "MATCH")
-    rows = rows.withColumn("match_status", first)
-    if not fuzzy:
-        return rows.withColumn("match_status", F.coalesce("match_status", F.lit("MISMATCH"))).drop("_cands")
-    key = ["declared_destination", "port_name"]
-    open_ = rows.where(F.col("match_status").isNull()).select(*key, "_cands").dropDuplicates(key)
-    scored = open_.select(*key, F.explode("_cands").alias("c")).select(*key, fuzzy_score(clean_name(F.col("c")), clean_name(F.col("port_name"))).alias("s"))
-    best = scored.groupBy(*key).agg(F.max("s").alias("_s"))
-    joined = rows.drop("_cands").join(best, key, "left")
-    return joined.withColumn("match_status", F.coalesce("match_status", F.when(F.col("_s") >= MATCH_THRESHOLD, "MATCH").otherwise("MISMATCH"))).drop("_s")
+    names = F.array_distinct(F.filter(F.array(*[clean_name(F.col(c)) for c in key[1::2]]), lambda x: x != ""))
+    pairs = v.select(*key).distinct().withColumn("_cands", destination_candidates(declared)).withColumn("_names", names)
+    cleaned = F.array_distinct(F.filter(F.transform("_cands", clean_name), lambda x: x != ""))
+    first = F.when((declared == "") | is_garbage(declared) | (F.size("_cands") == 0), "GARBAGE").when(exact_match(F.col("_cands"), F.col("un_locode")) | F.arrays_overlap(cleaned, F.col("_names")), "MATCH")
+    pairs = pairs.withColumn("_clean", cleaned).withColumn("match_status", first)
+    if fuzzy:
+        open_ = pairs.where(F.col("match_status").isNull()).select(F.explode("_clean").alias("_c"), "_names").select("_c", F.explode("_names").alias("_n")).distinct()
+        scored = open_.where(may_reach(F.col("_c"), F.col("_n"), MATCH_THRESHOLD)).withColumn("_s", fuzzy_score(F.col("_c"), F.col("_n"))).where(F.col("_s") >= MATCH_THRESHOLD)
+        hits = pairs.where(F.col("match_status").isNull()).select(*key, F.explode("_clean").alias("_c"), "_names").select(*key, "_c", F.explode("_names").alias("_n")).join(scored, ["_c", "_n"]).select(*key).distinct()
+        pairs = _join_nulls(pairs, hits.withColumn("_hit", F.lit(True)), key).withColumn("match_status", F.coalesce("match_status", F.when(F.col("_hit"), "MATCH")))
+    return _join_nulls(v, pairs.select(*key, F.coalesce("match_status", F.lit("MISMATCH")).alias("match_status")), key)
+
+
+def _join_nulls(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Left join on a key in which nulls are equal; the right side has one row a key."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in key], *[c for c in right.columns if c not in key])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in key]
+    return left.join(named, same, "left").drop(*[f"_r_{c}" for c in key])
 
 
 def match_rates(rows: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
@@ -181,7 +192,10 @@ def confusion(rows: DataFrame, actual: str, declared: str, k: int = 15) -> DataF
 
 
 def crosstab_with_margins(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.cube(a, b).agg(F.count("*").alias("n")).select(F.coalesce(F.col(a).cast("string"), F.lit("Total")).alias(a), F.coalesce(F.col(b).cast("string"), F.lit("Total")).alias(b), "n")
+    """Counts of all pairs of values with margins named Total; rows with a null on either side are left out."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("string").alias(a), F.col(b).cast("string").alias(b))
+    counted = known.cube(a, b).agg(F.count("*").alias("n"), F.grouping(a).alias("_a"), F.grouping(b).alias("_b"))
+    return counted.select(F.when(F.col("_a") == 1, "Total").otherwise(F.col(a)).alias(a), F.when(F.col("_b") == 1, "Total").otherwise(F.col(b)).alias(b), "n")
 
 
 def top_vessels_per_type(activity: DataFrame) -> DataFrame:

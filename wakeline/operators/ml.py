@@ -28,7 +28,7 @@ def ordinal(value: Column, names: list[str], start: int) -> Column:
 
 def yes_no(value: Column) -> Column:
     v = F.lower(F.trim(value))
-    return F.when(v == "yes", 1.0).when(v == "no", 0.0)
+    return F.when(v.isin("yes", "y", "true", "1"), 1.0).when(v.isin("no", "n", "false", "0"), 0.0)
 
 
 def _long(df: DataFrame, entries: list[tuple[str, Column]], names: tuple[str, str] = ("feature", "value")) -> DataFrame:
@@ -83,7 +83,7 @@ def matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df).select(key, "features")
 
 
-def kmeans(x: DataFrame, k: int, tries: int = 3, seed: int = 42) -> DataFrame:
+def kmeans(x: DataFrame, k: int, tries: int = 20, seed: int = 42) -> DataFrame:
     """Labels of the best of several k-means++ starts by inertia."""
     models = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(x) for i in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)
@@ -268,8 +268,8 @@ def select_k(s: pd.DataFrame, spark: SparkSession, ks: range = range(2, 9)) -> D
     sent = context.broadcast(x)
 
     def fit(k: int) -> tuple:
-        labels, centres, inertia = lloyd(sent.value, k, 5)
-        return labels, inertia, davies_bouldin(sent.value, labels, centres), *gap(sent.value, k, inertia, 3)
+        labels, centres, inertia = lloyd(sent.value, k, 20)
+        return labels, inertia, davies_bouldin(sent.value, labels, centres), *gap(sent.value, k, inertia, 10)
 
     fits = context.parallelize(ks, len(ks)).map(fit).collect()
     sums = _cluster_sums(x, [f[0] for f in fits], spark)

@@ -12,6 +12,7 @@ from wakeline.functions.geo import EARTH_RADIUS_M, buffered_hull, haversine_m
 
 #: Places up to this many rows are sent to every executor; the count is checked.
 MOST_BROADCAST = 200_000
+PER_ARRAY = 2_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -19,21 +20,59 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def _cell(lon: Column, lat: Column, degrees: float) -> tuple[Column, Column]:
-    return F.floor(lon / degrees), F.floor(lat / degrees)
+def place_map(places: DataFrame) -> dict:
+    """{place_id: (lon, lat)} on the driver; MOST_BROADCAST places at most."""
+    rows = places.select("place_id", "place_lon", "place_lat").limit(MOST_BROADCAST + 1).collect()
+    if len(rows) > MOST_BROADCAST:
+        raise ValueError(f"more than {MOST_BROADCAST} places")
+    return {r.place_id: (r.place_lon, r.place_lat) for r in rows}
+
+
+def _bands(lat: Column, step: float) -> Column:
+    return F.floor(lat / step)
+
+
+def _columns_of(band: Column, step: float) -> Column:
+    """Cells around the globe in a band of latitude; each is as wide as the radius can reach anywhere in it or next to it."""
+    highest = F.least(F.lit(90.0), F.greatest(F.abs(band * step), F.abs((band + 1) * step)) + step)
+    reach = F.lit(math.sin(math.radians(step) / 2)) / F.greatest(F.cos(F.radians(highest)), F.lit(1e-12))
+    return F.when(reach >= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(180.0) / F.degrees(F.asin(F.least(reach, F.lit(1.0)))))))
 
 
-def within_radius(points: DataFrame, places: DataFrame, radius_m: float, most_lat: float = 80.0) -> DataFrame:
+def _column(lon: Column, columns: Column) -> Column:
+    """The cell of a longitude; -180 and 180 are one place."""
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * columns), columns)
+
+
+def _cell(lon: Column, lat: Column, radius_m: float) -> Column:
+    """The cell (x, y) of a point."""
+    step = math.degrees(radius_m / EARTH_RADIUS_M)
+    band = _bands(lat, step)
+    return F.struct(_column(lon, _columns_of(band, step)).cast("long").alias("x"), band.cast("long").alias("y"))
+
+
+def _reached(lon: Column, lat: Column, radius_m: float) -> Column:
+    """The cells that a circle around a point can reach."""
+    step = math.degrees(radius_m / EARTH_RADIUS_M)
+
+    def in_band(y: Column) -> Column:
+        n = _columns_of(y, step)
+        x = _column(lon, n)
+        return F.transform(F.array(x - 1, x, x + 1), lambda c: F.struct(F.pmod(c, n).cast("long").alias("x"), y.cast("long").alias("y")))
+
+    band = _bands(lat, step)
+    return F.array_distinct(F.flatten(F.transform(F.array(band - 1, band, band + 1), in_band)))
+
+
+def within_radius(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """Every pair of a point (lon, lat) and a place (place_id, place_lon, place_lat) within the radius, with ``distance_m``.
 
     Places are copied to the cells their radius can reach and met by an equi-join.
+    Cells are bands of latitude cut into equal parts of the whole circle, so pairs
+    across longitude 180 and near the poles meet too.
     """
-    step = math.degrees(radius_m / EARTH_RADIUS_M)
-    wide = step / math.cos(math.radians(most_lat))
-    x, y = _cell(F.col("lon"), F.col("lat"), wide)
-    px, py = _cell(F.col("place_lon"), F.col("place_lat"), wide)
-    near = places.withColumn("_x", F.explode(F.array(px - 1, px, px + 1))).withColumn("_y", F.explode(F.array(py - 1, py, py + 1)))
-    met = points.withColumn("_x", x).withColumn("_y", y).join(small(near), ["_x", "_y"]).drop("_x", "_y")
+    near = places.withColumn("_cell", F.explode(_reached(F.col("place_lon"), F.col("place_lat"), radius_m)))
+    met = points.withColumn("_cell", _cell(F.col("lon"), F.col("lat"), radius_m)).join(small(near), "_cell").drop("_cell")
     met = met.withColumn("distance_m", haversine_m(F.col("lon"), F.col("lat"), F.col("place_lon"), F.col("place_lat")))
     return met.where(F.col("distance_m") <= radius_m)
 
@@ -44,27 +83,24 @@ def nearest_within(points: DataFrame, key: str, places: DataFrame, radius_m: flo
     return points.select(key).join(best, key, "left").select(key, F.col("b.place_id").alias("place_id"), F.col("b.distance_m").alias("distance_m"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, near_m: float = 20_000.0, most_lat: float = 80.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, near_m: float = 20_000.0) -> DataFrame:
     """Points with the nearest place at any distance; (distance, place_id) breaks ties.
 
-    A cell's array holds the places of it and its neighbours, so it has every place
-    within ``near_m`` of a point inside; a minimum within that is the nearest of
-    all. Only points without one are compared with all places, whose number is
-    checked against MOST_BROADCAST.
+    A cell's array holds every place within ``near_m`` of a point inside, so a
+    minimum within that is the nearest of all. Only points without one are compared
+    with all places, in arrays of ``PER_ARRAY`` places dealt by hash.
     """
-    if places.limit(MOST_BROADCAST + 1).count() > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} places")
-    tall = math.degrees(near_m / EARTH_RADIUS_M)
-    wide = tall / math.cos(math.radians(most_lat))
-    px, py = F.floor(F.col("place_lon") / wide), F.floor(F.col("place_lat") / tall)
     place = F.struct("place_id", "place_lon", "place_lat")
-    spread = places.withColumn("_x", F.explode(F.array(px - 1, px, px + 1))).withColumn("_y", F.explode(F.array(py - 1, py, py + 1)))
-    cells = spread.groupBy("_x", "_y").agg(F.collect_list(place).alias("_near"))
-    every = places.agg(F.collect_list(place).alias("_all"))
     best = lambda c: F.array_min(F.transform(c, lambda p: F.struct(haversine_m(F.col("lon"), F.col("lat"), p["place_lon"], p["place_lat"]).alias("d"), p["place_id"].alias("id"))))
-    joined = points.withColumn("_x", F.floor(F.col("lon") / wide)).withColumn("_y", F.floor(F.col("lat") / tall)).join(F.broadcast(cells), ["_x", "_y"], "left").withColumn("_found", best("_near"))
-    sure = (F.col("_found.d") <= near_m) & (F.abs("lat") <= most_lat)
-    joined = joined.join(F.broadcast(every), F.lit(True)).withColumn("_best", F.when(sure, F.col("_found")).otherwise(best("_all")))
+    cells = places.withColumn("_cell", F.explode(_reached(F.col("place_lon"), F.col("place_lat"), near_m))).groupBy("_cell").agg(F.collect_list(place).alias("_near"))
+    found = points.withColumn("_cell", _cell(F.col("lon"), F.col("lat"), near_m)).join(small(cells), "_cell", "left").withColumn("_best", best(F.col("_near"))).drop("_cell", "_near")
+    near = F.coalesce(F.col("_best.d") <= near_m, F.lit(False))
+    n_arrays = max(1, -(-places.count() // PER_ARRAY))
+    arrays = places.groupBy(F.pmod(F.xxhash64("place_id", "place_lon", "place_lat"), F.lit(n_arrays)).alias("_part")).agg(F.collect_list(place).alias("_all")).drop("_part")
+    keys = ["lon", "lat"]
+    far = found.where(~near & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(*keys).distinct()
+    farthest = far.join(small(arrays), F.lit(True)).select(*keys, best(F.col("_all")).alias("_far")).groupBy(*keys).agg(F.min("_far").alias("_far"))
+    joined = found.join(farthest, keys, "left").withColumn("_best", F.when(near, F.col("_best")).otherwise(F.col("_far")))
     return joined.select(*points.columns, F.col("_best.id").alias("place_id"), F.col("_best.d").alias("distance_m"))
 
 

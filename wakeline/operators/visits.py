@@ -8,19 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import haversine_m
-from wakeline.operators.spatial import nearest_place
+from wakeline.functions.geo import haversine_m, point_in_ring
+from wakeline.operators.spatial import nearest_place, place_map, small
 from wakeline.operators.trajectory import drop_speed_jumps, last_in_bucket, median_filter5
 
 PORT_RADIUS_M, BUFFER_M = 5000.0, 7500.0
 GAP_H, MOST_GAP_H, LEAST_STAY_H = 12.0, 48.0, 1.0
-AT_REST = ("At anchor", "Moored")
+# How a vessel at rest is reported.
+AT_REST = ("Moored", "At anchor", "1", "5")
 VISIT_DDL = "mmsi long, port_id long, arrival_time timestamp_ntz, departure_time timestamp_ntz, stay_duration_hours double, draught_m double, declared_destination string, n_positions long"
 
 
 def state(sog: Column, nav_status: Column, in_port: Column) -> Column:
-    slow, resting = sog < 1.0, F.coalesce(nav_status.isin(*AT_REST), F.lit(False))
-    return F.when(sog > 3.0, "UNDERWAY").when(in_port & slow, "STOPPED_IN_PORT").when(resting & slow, "STOPPED_IN_PORT").otherwise("TRANSITING")
+    """Speed decides first; an unknown speed counts as 0, and a status only helps a slow vessel."""
+    knots = F.coalesce(sog, F.lit(0.0))
+    stays = (knots < 1.0) & (F.coalesce(in_port, F.lit(False)) | F.coalesce(nav_status.isin(*AT_REST), F.lit(False)))
+    return F.when(knots > 3.0, "UNDERWAY").when(stays, "STOPPED_IN_PORT").otherwise("TRANSITING")
 
 
 def last_destination(df: DataFrame) -> DataFrame:
@@ -29,6 +32,26 @@ def last_destination(df: DataFrame) -> DataFrame:
     return df.withColumn("last_destination", F.last(F.nullif(F.trim("destination"), F.lit("")), ignorenulls=True).over(w))
 
 
+def upper_median(counts: dict[float, int]) -> float | None:
+    """Of values with their counts; what an open visit holds is as many values as it met."""
+    after = sum(counts.values()) // 2
+    for value in sorted(counts):
+        after -= counts[value]
+        if after < 0:
+            return value
+    return None
+
+
+#: A visit closes where a count exceeds its limit and all flags of one of the groups hold; counters are whole numbers.
+CLOSING = (
+    ("gap", MOST_GAP_H, ((),)),
+    ("gap", GAP_H, (("moved",), ("far",))),
+    ("away", 2, ((),)),
+    ("underway", 2, (("outside",),)),
+    ("moving", 1, (("moved", "outside"),)),
+)
+
+
 @dataclass
 class Automaton:
     """The visit rules, one point at a time; ``open`` survives between batches of a stream."""
@@ -43,8 +66,7 @@ class Automaton:
     def _finish(self, end) -> None:
         visit, hours = self.open, (end - self.open["arrival"]).total_seconds() / 3600
         if hours >= LEAST_STAY_H:
-            drawn = sorted(visit["draughts"])
-            self.done.append({"port_id": visit["port"], "arrival_time": visit["arrival"], "departure_time": end, "stay_duration_hours": hours, "draught_m": drawn[len(drawn) // 2] if drawn else None, "declared_destination": visit["destination"], "n_positions": visit["n"]})
+            self.done.append({"port_id": visit["port"], "arrival_time": visit["arrival"], "departure_time": end, "stay_duration_hours": hours, "draught_m": upper_median(visit["draughts"]), "declared_destination": visit["destination"], "n_positions": visit["n"]})
         self.open = None
 
     def step(self, ts, port: int, in_port: bool, what: str, meters_to, draught, destination) -> None:
@@ -56,21 +78,14 @@ class Automaton:
                 port = self.open["port"]
             self.underway = self.underway + 1 if what == "UNDERWAY" else 0 if what == "STOPPED_IN_PORT" else max(0, self.underway - 1)
             self.away = self.away + 1 if far else 0
-            moved = port != self.open["port"]
-            leaves = (
-                gap > MOST_GAP_H
-                or (gap > GAP_H and (moved or far))
-                or (self.underway >= 3 and not in_port)
-                or self.away >= 3
-                or (moved and not in_port and max(self.underway, self.away) >= 2)
-            )
-            if leaves:
+            seen = {"gap": gap, "underway": self.underway, "away": self.away, "moving": max(self.underway, self.away), "moved": port != self.open["port"], "far": far, "outside": not in_port}
+            if any(seen[count] > most and any(all(seen[flag] for flag in flags) for flags in among) for count, most, among in CLOSING):
                 self._finish(self.open["last"])
                 self.underway = self.away = 0
             else:
                 self._append(ts, draught)
         if not self.open and what == "STOPPED_IN_PORT" and in_port:
-            self.open = {"port": port, "arrival": ts, "last": ts, "draughts": [], "n": 0, "destination": destination}
+            self.open = {"port": port, "arrival": ts, "last": ts, "draughts": {}, "n": 0, "destination": destination}
             self._append(ts, draught)
             self.underway = self.away = 0
         self.previous = ts
@@ -79,23 +94,32 @@ class Automaton:
         self.open["last"] = ts
         self.open["n"] += 1
         if draught is not None and draught == draught and draught > 0:
-            self.open["draughts"].append(draught)
+            self.open["draughts"][draught] = self.open["draughts"].get(draught, 0) + 1
 
     def close(self) -> None:
         if self.open:
             self._finish(self.previous)
 
 
-def prepared_points(positions: DataFrame, places: DataFrame) -> DataFrame:
+def located(points: DataFrame, places: DataFrame, fences: DataFrame | None = None) -> DataFrame:
+    """Points with the nearest port and ``in_port``: within the radius, and inside the port's ring where ``fences`` (place_id, ring) has one."""
+    near = nearest_place(points, places).withColumn("in_port", F.col("distance_m") <= PORT_RADIUS_M)
+    if fences is None:
+        return near
+    inside = point_in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
+    return near.join(small(fences.select("place_id", "ring")), "place_id", "left").withColumn("in_port", F.col("in_port") & (F.col("ring").isNull() | inside)).drop("ring")
+
+
+def prepared_points(positions: DataFrame, places: DataFrame, fences: DataFrame | None = None) -> DataFrame:
     """Bucketed, cleaned, smoothed points with nearest port, state and last destination."""
     smooth = median_filter5(drop_speed_jumps(last_in_bucket(positions).drop("bucket")))
-    near = nearest_place(smooth, places).withColumn("in_port", F.col("distance_m") <= PORT_RADIUS_M)
+    near = located(smooth, places, fences)
     return last_destination(near.withColumn("state", state(F.col("sog"), F.col("nav_status"), F.col("in_port"))))
 
 
-def port_visits(positions: DataFrame, places: DataFrame) -> DataFrame:
-    """Visits of every vessel; the ports (a checked, small table) travel with the tasks."""
-    where = {r.place_id: (r.place_lon, r.place_lat) for r in places.collect()}
+def port_visits(positions: DataFrame, places: DataFrame, fences: DataFrame | None = None) -> DataFrame:
+    """Visits of every vessel; the ports, whose number is checked, travel with the tasks."""
+    where = place_map(places)
     columns = ["ts", "place_id", "in_port", "state", "lon", "lat", "draught", "last_destination"]
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,7 +133,7 @@ def port_visits(positions: DataFrame, places: DataFrame) -> DataFrame:
         out.insert(0, "mmsi", keys[0])
         return out
 
-    return prepared_points(positions, places).select("mmsi", *columns).groupBy("mmsi").applyInPandas(run, VISIT_DDL)
+    return prepared_points(positions, places, fences).select("mmsi", *columns).groupBy("mmsi").applyInPandas(run, VISIT_DDL)
 
 
 def voyages(visits: DataFrame, ties: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from wakeline.operators import aggregates as agg
 from wakeline.operators import ml, relational, spatial, trajectory
 from wakeline.operators import visits as visit_ops
 from wakeline.sources import adapters as a
-from wakeline.sources import sinks
+from wakeline.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -72,8 +72,7 @@ def vessel_upsert(spark, d):
 @query
 def ledger_skip(spark, d):
     days = a.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("file_path")).distinct()
-    ledger = days.where(F.dayofmonth(F.to_date("file_path")) <= 10)
-    return days.join(ledger, "file_path", "left_anti")
+    return readers.unread_files(days, days.where(F.dayofmonth(F.to_date("file_path")) <= 10))
 
 
 # Relational joins
@@ -139,11 +138,6 @@ def _nearest_port(spark, d, p):
 
 @query
 def nearest_port_unbounded(spark, d):
-    return _nearest_port(spark, d, a.positions(spark, d).where(F.minute("ts") == 0))
-
-
-@query
-def nearest_port_every_position(spark, d):
     return _nearest_port(spark, d, a.positions(spark, d))
 
 
@@ -158,11 +152,6 @@ def _in_fence(spark, d, p):
 
 @query
 def point_in_fence(spark, d):
-    return _in_fence(spark, d, a.positions(spark, d).where(F.minute("ts") == 0))
-
-
-@query
-def point_in_fence_every_position(spark, d):
     return _in_fence(spark, d, a.positions(spark, d))
 
 
@@ -222,7 +211,7 @@ def median_filter5(spark, d):
 
 @query
 def state_classify(spark, d):
-    p = a.positions(spark, d).withColumn("in_port", F.col("sog") < 5)
+    p = visit_ops.located(a.positions(spark, d), places(a.ports(spark, d)))
     return p.groupBy(visit_ops.state(F.col("sog"), F.col("nav_status"), F.col("in_port")).alias("state"), "nav_status").agg(F.count("*").alias("n"))
 
 
@@ -297,7 +286,7 @@ def search_routes(spark, d):
     r = agg.routes(_voyages(spark, d))
     p = a.ports(spark, d).select("port_id", "name", "un_locode")
     o, t = p.select(*[F.col(c).alias(f"o_{c}") for c in p.columns]), p.select(*[F.col(c).alias(f"d_{c}") for c in p.columns])
-    j = r.join(F.broadcast(o), F.col("origin_port_id") == F.col("o_port_id")).join(F.broadcast(t), F.col("destination_port_id") == F.col("d_port_id"))
+    j = r.join(spatial.small(o), F.col("origin_port_id") == F.col("o_port_id")).join(spatial.small(t), F.col("destination_port_id") == F.col("d_port_id"))
     return j.where(F.col("trips").between(2, 100) & relational.any_contains("0007", F.col("o_name"), F.col("d_name"), F.col("o_un_locode"), F.col("d_un_locode"))).select("origin_port_id", "destination_port_id", "trips")
 
 
@@ -344,13 +333,18 @@ def stay_histogram(spark, d):
     return agg.duration_histogram(a.visits(spark, d))
 
 
+def stays(spark, d):
+    """Visits of an hour or more, which features are made of."""
+    return a.visits(spark, d).where("stay_duration_hours >= 1")
+
+
 for _name in ("volume", "stay", "ship_type", "size", "temporal", "seasonal", "flow"):
-    QUERIES[f"feat_{_name}"] = lambda spark, d, f=getattr(agg, f"{_name}_features"): f(a.visits(spark, d))
+    QUERIES[f"feat_{_name}"] = lambda spark, d, f=getattr(agg, f"{_name}_features"): f(stays(spark, d))
 
 
 @query
 def feature_matrix(spark, d):
-    return agg.feature_matrix(a.visits(spark, d), a.ports(spark, d))
+    return agg.feature_matrix(stays(spark, d), a.ports(spark, d))
 
 
 @query
@@ -368,8 +362,9 @@ def wpi_encode(spark, d):
 
 @query
 def draught_utilization(spark, d):
-    s = agg.size_features(a.visits(spark, d))
-    return s.select("un_locode", F.round(F.try_divide("p90_draught_m", F.nullif(F.length("un_locode") - F.lit(5) + F.floor("p90_draught_m"), F.lit(0))), 6).alias("draught_utilization"))
+    from wakeline.operators import reports
+
+    return reports.port_matrix(stays(spark, d), a.ports(spark, d), a.port_index(spark, d), 1).select("un_locode", F.round("draught_utilization", 6).alias("draught_utilization"))
 
 
 # Destinations
@@ -445,8 +440,8 @@ def dest_confusion(spark, d):
 @query
 def top_vessels_per_type(spark, d):
     v = a.visits(spark, d)
-    both = v.select("mmsi", "ship_type").unionByName(_voyages(spark, d).select("mmsi", "ship_type"))
-    return agg.top_vessels_per_type(both.groupBy("mmsi").agg(F.count("*").alias("n"), F.max("ship_type").alias("ship_type")))
+    both = v.select("mmsi", "ship_type", F.col("arrival_time").alias("at")).unionByName(_voyages(spark, d).select("mmsi", "ship_type", F.col("departure_time").alias("at")))
+    return agg.top_vessels_per_type(both.groupBy("mmsi").agg(F.count("*").alias("n"), F.min_by("ship_type", F.struct("at", "ship_type")).alias("ship_type")))
 
 
 # Views of the map and the dashboards
@@ -571,7 +566,7 @@ def crosstab_margins(spark, d):
 @query
 def kmeans_labels(spark, d):
     x = ml.matrix(_features(spark, d), "vec_id", [f"f{i}" for i in range(6)])
-    return ml.kmeans(x, 4).groupBy("cluster").agg(F.count("*").alias("n"))
+    return ml.kmeans(x, 4)
 
 
 @query

@@ -41,6 +41,8 @@ VISITS = f"""visits as (
          case l_partkey % 6 when 0 then name when 1 then un_locode when 2 then country_code when 3 then 'FOR ORDERS' when 4 then '' end as declared_destination,
          l_orderkey as order_key, l_linenumber as line_number, l_partkey as part_key
   from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join ports on l_suppkey = port_id)"""
+#: Visits of an hour or more, which features are made of.
+STAYS = VISITS.replace("visits as (", "all_visits as (", 1) + ", visits as (select * from all_visits where stay_duration_hours >= 1)"
 LINKED = f"""near as (
   select t.id, p.port_id, {_haversine('t.lon', 't.lat', 'p.lon', 'p.lat')} as distance_m from terminals t join ports p on abs(t.lat - p.lat) < 0.2
 ), linked as (
@@ -126,9 +128,9 @@ ORACLE_SQL: dict[str, str] = {
     "top_ports_by_terminals": _with(PORTS, TERMINALS, LINKED) + "select p.port_id, p.name, count(l.id) as n_terminals from ports p join linked l on l.port_id = p.port_id group by all order by n_terminals desc, port_id limit 20",
     "union_port_points": _with(PORTS, TERMINALS, LINKED) + "select port_id, count(*) as n_points, round(avg(lon), 6) as lon, round(avg(lat), 6) as lat from (select port_id, lon, lat from ports union all select port_id, lon, lat from linked where port_id is not null) group by 1",
     "stop_port_radius": _with(PORTS, POSITIONS, STOPS) + f"select mmsi, start_time, port_id, round({_haversine('s.lon', 's.lat', 'p.lon', 'p.lat')}, 3) as distance_m from stops s join ports p on {_haversine('s.lon', 's.lat', 'p.lon', 'p.lat')} <= 1000",
-    "nearest_port_unbounded": _with(PORTS, POSITIONS) + f""", near as (select x.mmsi, x.ts, min(({_haversine('x.lon', 'x.lat', 'p.lon', 'p.lat')}, p.port_id)) as m from positions x cross join ports p where minute(x.ts) = 0 group by 1, 2)
+    "nearest_port_unbounded": _with(PORTS, POSITIONS) + f""", near as (select x.mmsi, x.ts, min(({_haversine('x.lon', 'x.lat', 'p.lon', 'p.lat')}, p.port_id)) as m from positions x cross join ports p group by 1, 2)
       select m[2] as port_id, count(*) as n, round(max(m[1]), 3) as farthest_m from near group by 1""",
-    "point_in_fence": _with(PORTS, POSITIONS) + f""", near as (select x.lon - p.lon as x, x.lat - p.lat as y, p.port_id from positions x join ports p on {_haversine('x.lon', 'x.lat', 'p.lon', 'p.lat')} <= 5000 where minute(x.ts) = 0)
+    "point_in_fence": _with(PORTS, POSITIONS) + f""", near as (select x.lon - p.lon as x, x.lat - p.lat as y, p.port_id from positions x join ports p on {_haversine('x.lon', 'x.lat', 'p.lon', 'p.lat')} <= 5000)
       select port_id, count(*) as near, count(*) filter (((-0.00071 > y) <> (0.00123 > y) and x < (0.0 + 0.00121) * (y + 0.00071) / (0.00123 + 0.00071) - 0.00121)
         <> ((0.00123 > y) <> (-0.00071 > y) and x < (0.00121 - 0.0) * (y - 0.00123) / (-0.00071 - 0.00123) + 0.0)) as inside from near group by 1""",
     "bucket_last_10m": _with(PORTS, POSITIONS, BUCKETS) + "select mmsi, bucket, ts, round(lon, 6) as lon, round(lat, 6) as lat, sog, nav_status, destination, draught from buckets",
@@ -144,7 +146,8 @@ ORACLE_SQL: dict[str, str] = {
     "median_filter5": _with(PORTS, POSITIONS) + ", n as (select *, count(*) over (partition by mmsi) as c from positions) select mmsi, ts, " + ", ".join(
         f"round(case when c >= 5 then list_sort([coalesce(lag({x}, 2) over w, 0.0), coalesce(lag({x}) over w, 0.0), {x}, coalesce(lead({x}) over w, 0.0), coalesce(lead({x}, 2) over w, 0.0)])[3] else {x} end, 6) as {x}" for x in ("lon", "lat")
     ) + " from n window w as (partition by mmsi order by ts)",
-    "state_classify": _with(PORTS, POSITIONS) + "select case when sog > 3 then 'UNDERWAY' when sog < 5 and sog < 1 then 'STOPPED_IN_PORT' when nav_status in ('At anchor', 'Moored') and sog < 1 then 'STOPPED_IN_PORT' else 'TRANSITING' end as state, nav_status, count(*) as n from positions group by 1, 2",
+    "state_classify": _with(PORTS, POSITIONS) + f""", near as (select x.mmsi, x.ts, any_value(x.sog) as sog, any_value(x.nav_status) as nav_status, min({_haversine('x.lon', 'x.lat', 'p.lon', 'p.lat')}) as m from positions x cross join ports p group by 1, 2)
+      select case when coalesce(sog, 0) > 3 then 'UNDERWAY' when m <= 5000 and coalesce(sog, 0) < 1 then 'STOPPED_IN_PORT' when nav_status in ('Moored', 'At anchor', '1', '5') and coalesce(sog, 0) < 1 then 'STOPPED_IN_PORT' else 'TRANSITING' end as state, nav_status, count(*) as n from near group by 1, 2""",
     "last_destination_before": _with(PORTS, POSITIONS) + ", l as (select mmsi, last_value(nullif(trim(destination), '') ignore nulls) over (partition by mmsi order by ts rows unbounded preceding) as last_destination from positions) select mmsi, last_destination, count(*) as n from l group by 1, 2",
     "track_gaps": _with(PORTS, POSITIONS) + ", g as (select mmsi, round((epoch_us(ts) - epoch_us(lag(ts) over (partition by mmsi order by ts))) / 3.6e9::double, 3) as h from positions) select mmsi, max(h) as max_gap_hours, count(*) filter (h > 12) as long_gaps from g group by 1",
     "route_stats_v1": _with(PORTS, VISITS, VOYAGES) + "select * from route_rows",
@@ -162,19 +165,19 @@ ORACLE_SQL: dict[str, str] = {
     "stay_histogram": _with(PORTS, VISITS) + """, b as (select unnest(range(12))::int as bin, unnest(['<2h','2-4h','4-6h','6-8h','8-12h','12-18h','18-24h','24-36h','36-48h','48-72h','72-168h','>7d']) as label
       ), c as (select len(list_filter([2,4,6,8,12,18,24,36,48,72,168], lambda e: stay_duration_hours >= e))::int as bin, count(*) as n from visits group by 1)
       select b.bin, label, coalesce(n, 0) as n, round(coalesce(n, 0) * 100.0::double / sum(coalesce(n, 0)) over (), 2) as pct from b left join c on b.bin = c.bin""",
-    "feat_volume": _with(PORTS, VISITS) + """, s as (select floor((epoch_us(max(arrival_time)) - epoch_us(min(arrival_time))) / 86400000000.0::double) as days from visits)
+    "feat_volume": _with(PORTS, STAYS) + """, s as (select floor((epoch_us(max(arrival_time)) - epoch_us(min(arrival_time))) / 86400000000.0::double) as days from visits)
       select un_locode, count(*) as total_visits, count(distinct mmsi) as unique_vessels, round(count(*) / greatest(any_value(days) / 7.0::double, 1), 6) as visits_per_week, round(count(*) / greatest(any_value(days), 1), 6) as avg_vessels_per_day,
              round(1.0 - count(distinct mmsi) / count(*)::double, 6) as repeat_visitor_ratio, round(count(*)::double / count(distinct mmsi), 6) as avg_visits_per_vessel from visits, s group by 1""",
-    "feat_stay": _with(PORTS, VISITS) + f"select un_locode, {_spread('stay_duration_hours', 'stay_h')}, round(avg(case when stay_duration_hours < 4 then 1.0::double else 0 end) * 100, 6) as pct_short_stay, round(avg(case when stay_duration_hours > 48 then 1.0::double else 0 end) * 100, 6) as pct_long_stay from visits group by 1",
-    "feat_ship_type": _with(PORTS, VISITS, f"typed as (select un_locode, {_NORMAL} as t from visits)", "wide as (select un_locode, " + ", ".join(f"count(*) filter (t = '{t}') as c_{t}" for t in _TYPE_LIST) + ", count(*) as n from typed group by 1)")
+    "feat_stay": _with(PORTS, STAYS) + f"select un_locode, {_spread('stay_duration_hours', 'stay_h')}, round(avg(case when stay_duration_hours < 4 then 1.0::double else 0 end) * 100, 6) as pct_short_stay, round(avg(case when stay_duration_hours > 48 then 1.0::double else 0 end) * 100, 6) as pct_long_stay from visits group by 1",
+    "feat_ship_type": _with(PORTS, STAYS, f"typed as (select un_locode, {_NORMAL} as t from visits)", "wide as (select un_locode, " + ", ".join(f"count(*) filter (t = '{t}') as c_{t}" for t in _TYPE_LIST) + ", count(*) as n from typed group by 1)")
     + "select w.un_locode, " + ", ".join(f"round(c_{t} * 100.0::double / n, 6) as pct_{t.lower()}" for t in _TYPE_LIST)
     + ", case " + " ".join(f"when c_{t} = greatest({', '.join('c_' + u for u in _TYPE_LIST)}) then '{t}'" for t in _TYPE_LIST) + f" end as dominant_ship_type, round(e.entropy, 6) as ship_type_entropy from wide w join {_entropy('typed', 't', 'k', 'null')} e using (un_locode)",
-    "feat_size": _with(PORTS, VISITS) + f"select un_locode, {_spread('length_m', 'length_m')}, round(quantile_cont(length_m, 0.9), 6) as p90_length_m, {_spread('draught_m', 'draught_m', False)}, round(quantile_cont(draught_m, 0.9), 6) as p90_draught_m from visits where (length_m is null or length_m > 10) and (draught_m is null or draught_m > 0) group by 1",
-    "feat_temporal": _with(PORTS, VISITS) + f"""select a.un_locode, a.night_visit_ratio, a.weekend_visit_ratio, round(e.entropy, 6) as peak_hour_entropy from (
+    "feat_size": _with(PORTS, STAYS) + f"select un_locode, {_spread('length_m', 'length_m')}, round(quantile_cont(length_m, 0.9), 6) as p90_length_m, {_spread('draught_m', 'draught_m', False)}, round(quantile_cont(draught_m, 0.9), 6) as p90_draught_m from visits where (length_m is null or length_m > 10) and (draught_m is null or draught_m > 0) group by 1",
+    "feat_temporal": _with(PORTS, STAYS) + f"""select a.un_locode, a.night_visit_ratio, a.weekend_visit_ratio, round(e.entropy, 6) as peak_hour_entropy from (
       select un_locode, round(avg(case when hour(arrival_time) >= 22 or hour(arrival_time) < 6 then 1.0::double else 0 end) * 100, 6) as night_visit_ratio, round(avg(case when isodow(arrival_time) >= 6 then 1.0::double else 0 end) * 100, 6) as weekend_visit_ratio from visits group by 1) a
       join {_entropy('visits', 'hour(arrival_time)', '24', '0')} e using (un_locode)""",
-    "feat_seasonal": _with(PORTS, VISITS) + f"select un_locode, round(case when count(*) >= 2 then stddev_samp(n) / avg(n) end, 6) as seasonal_cv, case when count(*) >= 2 then arg_min(month, (-n, month)) end as busiest_month from {_MONTHLY} group by 1",
-    "feat_flow": _with(PORTS, VISITS, "d as (select *, lower(declared_destination) as t from visits where declared_destination is not null)") + f"""select v.un_locode, round(e.entropy, 6) as destination_diversity, s.match_rate, s.intra_country_ratio from (select distinct un_locode from visits) v
+    "feat_seasonal": _with(PORTS, STAYS) + f"select un_locode, round(case when count(*) >= 2 then stddev_samp(n) / avg(n) end, 6) as seasonal_cv, case when count(*) >= 2 then arg_min(month, (-n, month)) end as busiest_month from {_MONTHLY} group by 1",
+    "feat_flow": _with(PORTS, STAYS, "d as (select *, lower(declared_destination) as t from visits where declared_destination is not null)") + f"""select v.un_locode, round(e.entropy, 6) as destination_diversity, s.match_rate, s.intra_country_ratio from (select distinct un_locode from visits) v
       left join (select un_locode, round(avg(case when contains(t, lower(port_name)) or (length(port_name) > 5 and contains(t, lower(port_name[1:5]))) then 1.0::double else 0 end) * 100, 6) as match_rate,
                         round(avg(case when contains(t, lower(country_code)) then 1.0::double else 0 end) * 100, 6) as intra_country_ratio from d group by 1) s using (un_locode)
       left join {_entropy('d', 'declared_destination', 'k', '0.0')} e using (un_locode)""",
@@ -191,7 +194,7 @@ ORACLE_SQL: dict[str, str] = {
       ), inside as (select port_name as actual, declared_destination as declared from visits join top on port_name = actual where declared_destination is not null
       ), second as (select declared from inside group by 1 order by count(*) desc, 1 limit 15)
       select t.actual, s.declared, count(i.actual) as n from top t cross join second s left join inside i on i.actual = t.actual and i.declared = s.declared group by 1, 2""",
-    "top_vessels_per_type": _with(PORTS, VISITS, VOYAGES) + """, act as (select mmsi, coalesce(max(ship_type), 'Unknown') as ship_type, count(*) as n from (select mmsi, ship_type from visits union all select mmsi, ship_type from voyages) group by 1)
+    "top_vessels_per_type": _with(PORTS, VISITS, VOYAGES) + """, act as (select mmsi, coalesce(arg_min(ship_type, seen_at), 'Unknown') as ship_type, count(*) as n from (select mmsi, ship_type, arrival_time as seen_at from visits union all select mmsi, ship_type, departure_time from voyages) group by 1)
       select ship_type, row_number() over (partition by ship_type order by n desc, mmsi)::int as rank, mmsi, n from act qualify rank <= case when regexp_matches(lower(ship_type), 'tanker|cargo') then 4 else 2 end""",
     "corr_matrix": _with(FEATURES) + " union all ".join(f"select '{x}' as a, '{y}' as b, round(corr({x}, {y}), 3) as corr from features" for x in _F for y in _F),
     "clr_transform": _with(FEATURES, "x as (select vec_id, " + ", ".join(f"case when f{i} * 100 <= 0 then 0.01 else f{i} * 100 end as f{i}" for i in range(4)) + " from features)", "y as (select vec_id, " + ", ".join(f"ln(f{i} / (f0 + f1 + f2 + f3)) as f{i}" for i in range(4)) + " from x)")
@@ -213,7 +216,7 @@ ORACLE_SQL["feature_matrix"] = (
     + " ".join(f"left join ({ORACLE_SQL['feat_' + b]}) using (un_locode)" for b in ("stay", "ship_type", "size", "temporal", "seasonal", "flow"))
     + " left join (select un_locode, min(port_id) as port_id, arg_min(name, port_id) as port_name, arg_min(country_code, port_id) as country_code from (" + _with(PORTS) + "select * from ports) group by 1) using (un_locode) where total_visits >= 20"
 )
-ORACLE_SQL["draught_utilization"] = "select un_locode, round(p90_draught_m / nullif(length(un_locode) - 5 + floor(p90_draught_m), 0), 6) as draught_utilization from (" + ORACLE_SQL["feat_size"] + ")"
+ORACLE_SQL["draught_utilization"] = "select un_locode, round(p90_draught_m / nullif(draft, 0), 6) as draught_utilization from (" + ORACLE_SQL["feat_volume"] + ") left join (" + ORACLE_SQL["feat_size"] + ") using (un_locode) left join (" + _with(PORTS) + "select un_locode, arg_min((port_id % 6) * 2.0::double, port_id) as draft from ports group by 1) using (un_locode)"
 
 ORACLE_SQL |= {
     "track_prefix": _with(PORTS, POSITIONS) + "select mmsi, max(ts) as last_ts, count(*) as n from (select * from positions qualify row_number() over (partition by mmsi order by ts) <= 20) group by 1",

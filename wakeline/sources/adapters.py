@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 #: The ship types that are counted on their own, the rest being Other.
 SHIP_TYPES = ["Cargo", "Tanker", "Passenger", "Fishing", "Tug", "HSC", "Dredging", "Sailing", "Towing", "Pilot", "SAR", "Other"]
 
+# The Yes or No columns of the port index.
+PORT_FLAGS = [
+    "facility_ro_ro", "facility_solid_bulk", "facility_liquid_bulk", "facility_container", "facility_breakbulk", "facility_oil_terminal", "facility_lng_terminal",
+    "cranes_fixed", "cranes_mobile", "cranes_floating", "cranes_container", "lifts_100plus_tons", "lifts_50_100_tons", "services_ice_breaking", "services_diving",
+    "pilotage_compulsory", "tugs_assistance", "restriction_ice", "restriction_tide", "restriction_heavy_swell", "supplies_fuel_oil", "supplies_diesel_oil", "supplies_potable_water",
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,3 +75,14 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case l_partkey % 6 when 0 then port_name when 1 then un_locode when 2 then country_code when 3 then 'FOR ORDERS' when 4 then '' end as declared_destination",
         "l_orderkey as order_key", "l_linenumber as line_number", "l_partkey as part_key",
     )
+
+
+def port_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Port attributes as a port index gives them: words for sizes and shelter, Yes or No flags, depths and limits."""
+    own = ports(spark, sf_dir).withColumnRenamed("name", "port_name").withColumnRenamed("lon", "longitude").withColumnRenamed("lat", "latitude")
+    pick = lambda words, by: f"element_at(array({', '.join(words)}), cast({by} % {len(words)} as int) + 1)"
+    flags = [pick(["'Yes'", "'No'", "'Unknown'", "' yes '", "null"], f"(port_id + {i})") + f" as {c}" for i, c in enumerate(PORT_FLAGS)]
+    return own.selectExpr(
+        "*", pick(["'Very Small'", "'Small'", "'Medium'", "'Large'", "'?'"], "port_id") + " as harbor_size", pick(["'None'", "'Poor'", "'Fair'", "'Good'", "'Excellent'", "null"], "port_id") + " as shelter_afforded",
+        "'Coastal' as harbor_type", "port_id % 9 + 0.5D as channel_depth_m", "port_id % 7 + 0.5D as anchorage_depth_m", "port_id % 5 + 0.5D as cargo_pier_depth_m", "(port_id % 6) * 2.0D as max_vessel_draft_m", *flags,
+    )

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wakeline.operators.relational import insert_absent
+from wakeline.operators.spatial import place_map
 from wakeline.operators.trajectory import _haversine
 from wakeline.operators.visits import VISIT_DDL, Automaton
+from wakeline.sources.shared import shared_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,27 +38,42 @@ def session_stream(events: DataFrame, gap: str = "30 minutes 1 microsecond") ->
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and gives its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over what there is and gives its result table, written to the shared folder.
 
+    A batch writes to a path of its own number, so one that is run again replaces
+    itself; in complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+    path, done = shared_path(spark, "stream"), set()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.add(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    numbers = [max(done)] if mode == "complete" else sorted(done)
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch={n}" for n in numbers])
 
-def insert_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str | None = None):
-    """Appends rows whose key the target does not hold yet; replays of a batch add nothing."""
+
+def insert_once(stream: DataFrame, path: str, keys: list[str], checkpoint: str | None = None, time: str | None = None):
+    """Appends rows whose key the target does not hold yet; replays of a batch add nothing.
+
+    With ``time``, only the target's rows in the batch's range of it are read.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
         try:
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as e:  # the first batch finds no target
+            fresh = insert_absent(spark.read.parquet(path), fresh, keys, time)
+        except AnalysisException as e:  # the first batch finds no target
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         fresh.write.mode("append").parquet(path)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or tempfile.mkdtemp()).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or shared_path(stream.sparkSession, "insert-checkpoint")).trigger(availableNow=True).start()
 
 
 def incremental_visits(points: DataFrame, places: DataFrame, final: bool = False) -> DataFrame:
@@ -65,7 +82,7 @@ def incremental_visits(points: DataFrame, places: DataFrame, final: bool = False
     ``points`` is a stream of prepared points (place_id, in_port, state, ...). With
     ``final`` a visit still open at the end of a batch is closed.
     """
-    where = {r.place_id: (r.place_lon, r.place_lat) for r in places.collect()}
+    where = place_map(places)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import pickle
@@ -90,7 +107,7 @@ def incremental_visits(points: DataFrame, places: DataFrame, final: bool = False
 
 def visits_of(points: DataFrame, places: DataFrame) -> DataFrame:
     """The visits of a bounded set of points, taken through the stream."""
-    folder = f"{tempfile.mkdtemp()}/points"
-    points.select("mmsi", "ts", "place_id", "in_port", "state", "lon", "lat", "draught", "last_destination").coalesce(1).write.parquet(folder)
+    folder = shared_path(points.sparkSession, "points")
+    points.select("mmsi", "ts", "place_id", "in_port", "state", "lon", "lat", "draught", "last_destination").write.parquet(folder)
     stream = points.sparkSession.readStream.schema(points.sparkSession.read.parquet(folder).schema).parquet(folder)
     return run_to_end(incremental_visits(stream, places, final=True), "append")
