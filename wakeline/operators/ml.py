@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 4_000_000
+#: Spark jobs that run side by side.
+JOBS = 8
 
 
 def ordinal(value: Column, names: list[str], start: int) -> Column:
@@ -85,7 +88,9 @@ def matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def kmeans(x: DataFrame, k: int, tries: int = 20, seed: int = 42) -> DataFrame:
     """Labels of the best of several k-means++ starts by inertia."""
-    models = [KMeans(k=k, seed=seed + i, initMode="k-means||").fit(x) for i in range(tries)]
+    fit = lambda i: KMeans(k=k, seed=seed + i, initMode="k-means||").fit(x)
+    with ThreadPoolExecutor(JOBS) as pool:
+        models = list(pool.map(fit, range(tries)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(x).withColumnRenamed("prediction", "cluster").drop("features")
 

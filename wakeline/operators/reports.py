@@ -39,7 +39,7 @@ def _drawn(trips: DataFrame) -> DataFrame:
 
 
 def _figures(c: str) -> list[Column]:
-    return [F.round(f(c), 2).alias(f"{n}_draught") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max))]
+    return [F.round(f(c), places).alias(f"{n}_draught") for n, f, places in (("min", F.min, 2), ("avg", F.avg, 6), ("max", F.max, 2))]
 
 
 def trip_vessels(trips: DataFrame) -> DataFrame:

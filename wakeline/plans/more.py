@@ -32,7 +32,7 @@ _VOY = o._with(o.PORTS, o.VISITS, o.VOYAGES)
 _TRIPS = o.ORACLE_SQL["od_trips"].rsplit("select port_id as origin_id", 1)[0] + """, drawn as (
   select mmsi, port_id as origin_id, dest_id, max_draught as o_max, d_max, greatest(coalesce(max_draught, 0), coalesce(d_max, 0)) as draught from trips where distance_m > 100000)
 """
-_FIGURES = "round(min({0}), 2) as min_draught, round(avg({0}), 2) as avg_draught, round(max({0}), 2) as max_draught"
+_FIGURES = "round(min({0}), 2) as min_draught, round(avg({0}), 6) as avg_draught, round(max({0}), 2) as max_draught"
 
 
 # Rows by time and key

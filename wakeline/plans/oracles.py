@@ -233,3 +233,9 @@ ORACLE_SQL |= {
     "json_safe": "select event_id, case when event_id % 5 > 1 then value end as value from events",
     "dest_clean": "select p_partkey, 'O ' || upper(p_name) || ' DENMARK' as cleaned from part",
 }
+
+_SIZES = [f"{s}_{n}" for n, stats in (("length_m", ("median", "mean", "std", "p25", "p75", "iqr", "p90")), ("draught_m", ("median", "mean", "std", "iqr", "p90"))) for s in stats]
+ORACLE_SQL |= {
+    "dest_candidates": "select n_nationkey, array_to_string(list_sort(list_distinct(['ROUTE DKFDH->' || x || ' /AREA', 'DKFDH->' || x || ' /AREA', x, replace(x, ' ', '')])), '|') as candidates from (select n_nationkey, upper(n_name[1:2]) || ' ' || (n_nationkey + 100) as x from nation)",
+    "feature_labels": " union all ".join(f"select '{c}' as feature, '{label}' as label" for c, label in [("un_locode", "Un Locode"), *[(c, c[:-2].replace("_", " ").title()) for c in _SIZES]]),
+}
