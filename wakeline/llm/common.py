@@ -64,6 +64,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+def has_word(text: Column) -> Column:
+    """Whether anything but separators is in a text; not so for a null."""
+    return F.coalesce(F.length(F.translate(text, SEPARATORS, "")) > 0, F.lit(False))
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, even where ``body`` uses it in lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -220,9 +220,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns; texts are read twice, never shuffled."""
-    stats = text_statistics(docs)
-    rules = learn_rules(materialise(labelled_statistics(stats, labels), "quality-labelled"))
+    """The documents that pass, with all their columns; statistics are made once and written beside what the base rule keeps."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col("text").alias("_body"))
-    judged = with_features(fence(text_statistics(own, text="_body", keep=["_own"])))
-    return judged.where((verdict(rules) == 0) & (F.col("_fence") >= 0)).select("_own.*")
+    stats = fence(text_statistics(own, text="_body", keep=["_own"])).where(~F.col("base_failed") & (F.col("_fence") >= 0)).drop("_fence")
+    stats = materialise(stats, "quality-documents")
+    rules = learn_rules(materialise(labelled_statistics(stats.withColumn("doc_id", F.col("_own.doc_id")).drop("_own"), labels), "quality-labelled"))
+    return with_features(stats).where(verdict(rules) == 0).select("_own.*")
