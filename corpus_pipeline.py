@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wakeline.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
-from wakeline.llm.common import materialise, read_table
+from wakeline.llm.common import has_word, materialise, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +15,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are cut; documents of which nothing is left go."""
+    """Later occurrences of three-line windows are cut; documents left without a word go."""
     cut = line_dedup.dedup_lines(docs)
-    return cut.where("n_removed = 0 or text <> ''").select(*[f"`{c}`" for c in docs.columns])
+    return cut.where((F.col("n_removed") == 0) | has_word(F.col("text"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
