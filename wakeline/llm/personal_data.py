@@ -12,7 +12,7 @@ score it: number of digits, check digits, separators, brackets, what stands befo
 and after. Dynamic programming over segments of bounded length picks boundaries
 and kinds jointly, in time linear in the region. Weights are learned by maximum
 likelihood on base spans as silver labels (a bounded sample, ``MOST_REGIONS``
-regions, of all texts by hash) and on pairs of them set side by side, which the
+distinct regions of all texts, by kind and hash) and on pairs of them set side by side, which the
 patterns cannot tell apart. Spans it finds are added where they pass their kind's
 check and touch no base span; base spans stay.
 
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MOST_REGIONS = 3000
 MOST_ATOMS = 13
@@ -279,15 +281,20 @@ def _sample(docs: DataFrame) -> list:
 
     found = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9]{3}"))
     rows = found.mapInArrow(regions, "region string, before string, after string, spans string")
-    rows = rows.withColumn("by", F.xxhash64("region", "before", "after", "spans"))
+    # Each region once, however many copies; by kind, so that a frequent kind leaves room for the others.
+    rows = materialise(rows.distinct().withColumn("kind", F.split_part("spans", F.lit(":"), F.lit(1))), "regions")
+    order = [F.xxhash64("region", "before", "after", "spans"), "region", "before", "after", "spans"]
     # TopK: at most MOST_REGIONS rows reach the driver, whatever the input.
-    kept = rows.orderBy("by", "region", "before", "after", "spans").limit(MOST_REGIONS).collect()
+    parts = [rows.where(F.col("kind") == k).orderBy(*order).limit(MOST_REGIONS // len(KINDS)).collect() for k in ("", *map(str, range(1, len(KINDS))))]
+    kept = [r for part in parts for r in part]
+    discard(rows)
     parse = lambda s: [tuple(map(int, x.split(":"))) for x in s.split(",") if x]
     return [(r["region"], r["before"], r["after"], parse(r["spans"])) for r in kept]
 
 
 def find_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest are of base spans."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(learn(_sample(docs)).weights)
     schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 
