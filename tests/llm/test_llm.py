@@ -313,6 +313,49 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert out[0] > 0.85 * out[1]
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["red", "sea", "Blue", "sky", "one", "two", "xx", "hapax%d" % i], k=30))) for i in range(60)]
+    model, counts = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    some = np.random.default_rng(1)
+    for _ in range(50):
+        one, two = some.integers(0, lm_score._SIZES[0], 1), some.integers(0, lm_score._SIZES[1], 1)
+        z = model.logits(lm_score._features(one, two))[:, 0].astype(float)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        within = np.exp(model.within[some.integers((lm_score.CLASSES + 1) ** 2)].astype(float))
+        used = np.unique(model.class_of[:-1])
+        assert abs((p[model.class_of[:-1]] * within).sum() - p[used].sum()) < 1e-3
+    shares = collections.Counter()
+    for r in counts.collect():
+        shares[r.tag] += (r.n + lm_score.SMOOTH) / 10 ** model.shares[r.tag]
+    assert all(abs(x + lm_score.SMOOTH / 10 ** model.shares[t] - 1) < 1e-9 for t, x in shares.items())
+
+
+def test_lm_gradient_equals_plain_loops(spark):
+    texts_ = [(1, "Red sea red sky"), (2, "sea sky one"), (3, None), (4, "one")]
+    df = spark.createDataFrame(texts_, "doc_id long, text string")
+    model, _ = lm_score.train(df)
+    found = {n: np.zeros(s) for n, s in (("0", (lm_score._SIZES[0], lm_score.CLASSES + 1)), ("1", (lm_score._SIZES[1], lm_score.CLASSES + 1)), ("2", (lm_score._SIZES[2], lm_score.CLASSES + 1)), ("joint", ((lm_score.CLASSES + 1) ** 2, lm_score.TAGS + 1)))}
+    for r in lm_score._gradient(df, model, True).collect():
+        part = found[r["name"]][r.k : r.k + lm_score._step(found[r["name"]].shape[1])]
+        part += np.frombuffer(r.data, np.float32).reshape(part.shape)
+    want = {n: np.zeros_like(x) for n, x in found.items()}
+    lexicon = lm_score._Lexicon(model.head)
+    for _, t in texts_:
+        past = [(lm_score.START, lm_score.START)] * 2
+        for w in [*(x.encode() for x in words(t)), None]:
+            tag, row = (lm_score.END, lm_score.END) if w is None else (lexicon.tags[lexicon[w]], lexicon.rows[lexicon[w]])
+            f = [int(x[0]) for x in lm_score._features(np.array([past[-1][1]]), np.array([past[-2][1]]))]
+            z = sum(model.weights[i][:, k] for i, k in enumerate(f))
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            for i, k in enumerate(f):
+                want[str(i)][k, : lm_score.CLASSES] += (np.arange(lm_score.CLASSES) == model.class_of[tag]) - p
+                want[str(i)][k, lm_score.CLASSES] += 1
+            want["joint"][model.class_of[past[-1][0]] * (lm_score.CLASSES + 1) + model.class_of[past[-2][0]], tag] += 1
+            past.append((tag, row))
+    assert all(np.allclose(found[n], want[n], atol=1e-4) for n in want)
+
+
 # 6
 
 

@@ -53,6 +53,8 @@ MOST_BITS, MOST_SLOTS = 27, 1 << 22
 CHUNK = 1024
 #: Rounds that pair the members of still mixed posting lists with hubs, and hubs a list in each.
 ROUNDS, HUBS = 1, 3
+#: Tasks that the copies of one text are dealt over, where they meet their class.
+SALTS = 16
 #: Bytes hashed at a time.
 SEGMENT = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -384,8 +386,11 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = _levels(found.where("chunk is not null").select("chunk", "times"), slot_bits)
 
     full = profiles.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    copies = full.join(classes, ["n", "f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    # Classes of several rows stand on every salt, so that the copies of one are dealt over SALTS tasks.
+    salted = classes.where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("m")
+    keyed = full.select("n", "f1", "f2", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = keyed.join(salted, ["n", "f1", "f2", "salt"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     copies = materialise(copies, "copies")
     reps = materialise(classes.select(F.col("rep").alias("id")).distinct(), "representatives")
     prefixes = materialise(_postings(docs, _Ids(reps, reps.count()), level), "prefixes")
