@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.llm import mixing, personal_data, quality_rules, toxicity
+from wakeline.llm import components, mixing, personal_data, quality_rules, toxicity
 
 from .test_llm import WORD, components_brute, dedup_brute, statistics
 
@@ -142,6 +142,28 @@ def test_thresholds_by_language_have_the_most_f1():
         assert f1(own, cut) >= max(f1(own, c) for c in [0.5, *p[own]]) - 1e-9
 
 
+# 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs_with_hubs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    edges += [(h, rng.randrange(1000, 1400)) for h in (1000, 1200, 1399) for _ in range(120)] + edges[:20]
+    root = {v: v for e in edges for v in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.v, r.root) for r in got) == sorted((v, find(v)) for v in root if find(v) != v)
+
+
 # 10
 
 

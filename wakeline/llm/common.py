@@ -15,6 +15,8 @@ SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+#: Tasks that the rows of one hot key are dealt over in a join.
+SALTS = 16
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import SALTS, discard, materialise
+
+
+def _salted(edges: DataFrame, by: str) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _on_every_salt(least: DataFrame) -> DataFrame:
+    return least.select(F.col("v").alias("_v"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root): the smallest id reachable, for every id in ``edges`` (a, b) that is not itself the smallest.
 
-    Each round is two grouped minima and two joins on a vertex, so a vertex of very
-    many edges is combined map-side or split by Spark, never gathered. Rounds are
-    written to the shared folder; they end when the edge set no longer changes.
+    Each round is two grouped minima and two joins of edges with a vertex. Minima are
+    combined map-side. Only a vertex with larger and smaller neighbours moves its larger
+    ones, and only one with several smaller neighbours joins them; it stands on every
+    salt, so that its edges are dealt over ``SALTS`` tasks. Rounds are written to the
+    shared folder; they end when the edge set no longer changes.
     """
     now = materialise(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct().select(F.col("u").alias("v"), F.col("v").alias("root")), "edges")
     before = None
@@ -22,11 +32,13 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before or not mark[0]:
             return now
         before = mark
-        both = now.unionByName(now.select(F.col("root").alias("v"), F.col("v").alias("root")))
-        least = both.groupBy("v").agg(F.least("v", F.min("root")).alias("m"))
-        large = both.join(least, "v").where("root > v").select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root").distinct()
-        least = large.groupBy("v").agg(F.min("root").alias("m"))
-        small = large.join(least, "v").select(F.col("root").alias("v"), F.col("m").alias("root")).where("v <> root")
+        least = now.groupBy("v").agg(F.min("root").alias("m"))
+        between = now.select(F.col("root").alias("v")).distinct().join(least, "v")
+        large = _salted(now, "v").join(_on_every_salt(between), (F.col("root") == F.col("_v")) & (F.col("salt") == F.col("_salt")), "left")
+        large = large.select("v", F.coalesce("m", "root").alias("root")).distinct()
+        least = large.groupBy("v").agg(F.min("root").alias("m"), F.count("*").alias("n"))
+        small = _salted(large, "root").join(_on_every_salt(least.where("n > 1")), (F.col("v") == F.col("_v")) & (F.col("salt") == F.col("_salt")))
+        small = small.where("root <> m").select(F.col("root").alias("v"), F.col("m").alias("root"))
         past, now = now, materialise(small.unionByName(least.select("v", F.col("m").alias("root"))).distinct(), "edges")
         discard(past)
     raise RuntimeError("components did not settle")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SEPARATORS, discard, give_back, materialise, small_batches
+from .common import SALTS, SEPARATORS, discard, give_back, materialise, small_batches
 from .components import connected
 
 WORDS = 5
@@ -53,8 +53,6 @@ MOST_BITS, MOST_SLOTS = 27, 1 << 22
 CHUNK = 1024
 #: Rounds that pair the members of still mixed posting lists with hubs, and hubs a list in each.
 ROUNDS, HUBS = 1, 3
-#: Tasks that the copies of one text are dealt over, where they meet their class.
-SALTS = 16
 #: Bytes hashed at a time.
 SEGMENT = 1 << 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
