@@ -322,6 +322,24 @@ def test_points_far_from_every_place_meet_few_of_them(spark, monkeypatch):
     assert all(abs(r.distance_m - d[r.k].min()) < 1e-6 for r in spatial.nearest_place(some, places).collect())
 
 
+def test_every_position_has_its_state(spark):
+    from collections import Counter
+
+    from wakeline.plans import catalogue
+    from wakeline.sources import adapters
+
+    d = "/root/testdata/sf0.001"
+    p, ports = adapters.positions(spark, d).toPandas(), adapters.ports(spark, d).toPandas()
+    lon, lat, x, y = (np.radians(v.to_numpy()) for v in (p.lon, p.lat, ports.lon, ports.lat))
+    h = np.sin((lat[:, None] - y) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(y) * np.sin((lon[:, None] - x) / 2) ** 2
+    at = (2 * geo.EARTH_RADIUS_M * np.arcsin(np.sqrt(h))).min(1) <= 5000
+    want = Counter(("UNDERWAY" if s > 3 else "STOPPED_IN_PORT" if s < 1 and (a or n in visits.AT_REST) else "TRANSITING", n) for s, n, a in zip(p.sog, p.nav_status, at, strict=True))
+    out = catalogue.QUERIES["state_classify"](spark, d)
+    far = spark.createDataFrame([(0, 10.0, 0.0)], "k int, lon double, lat double")
+    assert "Join" not in visits.located(far, catalogue.places(adapters.ports(spark, d)))._jdf.queryExecution().executedPlan().toString()
+    assert {(r.state, r.nav_status): r.n for r in out.collect()} == want
+
+
 def test_states_by_status_and_without_speed(spark):
     rows = [(0.5, "1", False), (0.5, "5", False), (None, "Moored", False), (None, None, True), (None, None, False), (0.5, "Anchored", False), (0.5, None, None)]
     df = spark.createDataFrame(rows, "sog double, nav string, p boolean")
