@@ -356,6 +356,29 @@ def test_lm_gradient_equals_plain_loops(spark):
     assert all(np.allclose(found[n], want[n], atol=1e-4) for n in want)
 
 
+def test_lm_trains_until_little_gradient_is_left(spark, monkeypatch):
+    rng = random.Random(5)
+    some = [f"{a}{b}" for a in "bdfgklmnprstvz" for b in ("ab", "eck", "isch", "o", "ung", "yra")]
+    follow = {w: rng.sample(some, 4) for w in some}
+
+    def text():
+        out = [rng.choice(some)]
+        while len(out) < 80:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    model, _ = lm_score.train(df)
+    monkeypatch.setattr(lm_score, "PENDING", 1_000)
+    monkeypatch.setattr(lm_score, "COUNTS", 300)
+    left, seen = np.zeros((lm_score._SIZES[0], lm_score.CLASSES + 1)), lm_score._gradient(df.where("crc32(cast(doc_id as string)) % 10 <> 0"), model, True)
+    for r in seen.where("name = '0'").collect():
+        part = left[r.k : r.k + lm_score._step(lm_score.CLASSES + 1)]
+        part += np.frombuffer(r.data, np.float32).reshape(part.shape)
+    assert left[:, -1].sum() == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(400)) * 81
+    assert np.abs(left[:, :-1]).sum() < 0.08 * left[:, -1].sum()
+
+
 # 6
 
 
