@@ -379,6 +379,41 @@ def test_lm_trains_until_little_gradient_is_left(spark, monkeypatch):
     assert np.abs(left[:, :-1]).sum() < 0.08 * left[:, -1].sum()
 
 
+def test_lm_rounds_go_over_each_context_once(spark, monkeypatch):
+    rng = random.Random(9)
+    texts_ = [(i, " ".join(rng.choices(["red", "sea", "Blue", "sky", "one"], k=12))) for i in range(80)]
+    kept, write = [], lm_score.materialise
+
+    def keep(df, name):
+        out = write(df, name)
+        if name == "lm-contexts":
+            kept.extend(out.where("name = 'codes'").select("k", "data", F.input_file_name().alias("file")).collect())
+        return out
+
+    monkeypatch.setattr(lm_score, "materialise", keep)
+    model, _ = lm_score.train(spark.createDataFrame(texts_, "doc_id long, text string").repartition(8))
+    lexicon, want = lm_score._Lexicon(model.head), collections.Counter()
+    for i, t in texts_:
+        past = [lm_score.START] * 2
+        for w in [*(x.encode() for x in words(t)), None] if zlib.crc32(str(i).encode()) % 10 else []:
+            tag, row = (lm_score.END, lm_score.END) if w is None else (lexicon.tags[lexicon[w]], lexicon.rows[lexicon[w]])
+            want[(past[-1] * lm_score._SIZES[1] + past[-2]) * lm_score.CLASSES + int(model.class_of[tag])] += 1
+            past.append(row)
+    found = [(int(c), int(n)) for r in kept for c, n in np.frombuffer(r.data, np.int32).reshape(2, -1).T]
+    assert len(found) == len(want) and dict(found) == want
+    assert len({(r.k, r.file) for r in kept}) == len({r.k for r in kept})
+    monkeypatch.setattr(lm_score, "MOST", 7)
+    monkeypatch.setattr(lm_score, "COUNTS", 3)
+    codes, n = lm_score._merged([np.array(list(want), np.int32)] * 2, [np.array(list(want.values()))] * 2)
+    again = collections.Counter()
+    for batch in lm_score._packed(codes, n):
+        for data in batch.column(2).to_pylist():
+            c, times = np.frombuffer(data, np.int32).reshape(2, -1)
+            assert len(c) <= 3 and times.max() <= 7
+            again.update(dict(zip(c.tolist(), times.tolist(), strict=True)))
+    assert again == {c: 2 * n for c, n in want.items()}
+
+
 # 6
 
 
